@@ -79,19 +79,23 @@ def features(docs: DataFrame) -> DataFrame:
     Null or empty text: every count is zero.  Columns other than doc_id and text are ignored; a
     repeated row is scored once per row; an empty table gives no rows.
     """
+    return _features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+
+
+def _features(docs: DataFrame, *carried: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    staged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.array_remove(F.split("text", SPACE), "").alias("words"))
+    staged = docs.select(*carried, text.alias("text")).select(*carried, "text", F.array_remove(F.split("text", SPACE), "").alias("words"))
     stop = F.lit(list(dict.fromkeys(STOP_WORDS)))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
     return staged.select(
-        "doc_id",
+        *carried,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         _bind(lines, lambda x: F.struct(F.size(x).alias("all"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"),
         _repeated(F.col("words")).cast("long").alias("n_repeat_words"),
         F.size(F.filter("words", lambda w: F.array_contains(stop, F.lower(w)))).cast("long").alias("n_stop_words"),
-    ).select("doc_id", "n_words", "word_chars", "n_symbols", F.col("lines.dup").cast("long").alias("n_dup_lines"), "n_repeat_words", "n_stop_words", F.col("lines.all").cast("long").alias("n_lines"), F.lit(1).cast("long").alias("one"))
+    ).select(*carried, "n_words", "word_chars", "n_symbols", F.col("lines.dup").cast("long").alias("n_dup_lines"), "n_repeat_words", "n_stop_words", F.col("lines.all").cast("long").alias("n_lines"), F.lit(1).cast("long").alias("one"))
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
@@ -115,3 +119,10 @@ def base_failed() -> Column:
 def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Features, ``base_failed`` and ``kept`` of every document."""
     return features(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & verdict(rules)).drop("one")
+
+
+def with_verdict(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The input's rows and columns, and ``__kept``; no shuffle, whatever the other columns are called."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("text").alias("text"))
+    judged = _features(packed, "__row").select("__row", (~base_failed() & verdict(rules)).alias("__kept"))
+    return judged.select("__row.*", "__kept")
