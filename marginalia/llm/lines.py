@@ -3,21 +3,24 @@
 A line is the set of its words.  It goes if an earlier line (smaller doc_id, then smaller line
 number) has Jaccard similarity ``THRESHOLD`` or more with it; lines are judged on the input.  Tokens are
 ordered by rarity; similar sets share a token among their rarest ones (prefix filter), at
-positions that leave enough room (positional filter), and have similar sizes (length filter).
+positions that leave enough room (positional filter), and have similar sizes (length filter).  A
+64-bit parity signature of each set bounds the symmetric difference from below and thins the candidates.
 
 Equal sets are settled by one aggregation.  Of the rest, the postings of each rare token are
-streamed in line order: each is compared with the first ``HELD`` different lines of that token, so a token shared
-by a large group of near copies costs time in proportion to its lines.  Lines that find no match that way but stand
-further down a longer list are then joined with all earlier lines of the list.  Candidates are verified on whole sets.
+streamed in line order: each is compared with the first ``HELD`` different lines of that token and gives at most
+``PAIRS`` candidates, so a token shared by a large group of near copies costs time in proportion to its lines.
+Candidates are verified on whole sets.  Lines that had more candidates, or stand further down a longer list, and found
+no match are then joined with all earlier lines of the list.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byteprint import RangeHash, mix
@@ -25,39 +28,78 @@ from .marks import marked, marks_of
 from .work import Work, utf8
 
 THRESHOLD = (4, 5)
-HELD = 64
-SKETCH_BITS = 16
+HELD, PAIRS = 1024, 3
+SLOT_BITS, SLICE_BITS = 18, 12
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
-def _sets(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(line number, word hash) of the distinct words of each line, by line and hash."""
-    raw = np.frombuffer(data + b"\n", np.uint8)
-    blank = _BLANK[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    line = np.concatenate([[0], np.cumsum(raw == 10)])[start]
-    h = RangeHash(raw)(start, end)
-    order = np.lexsort((h, line))
-    line, h = line[order], h[order]
-    new = np.append(True, (line[1:] != line[:-1]) | (h[1:] != h[:-1]))
-    return line[new], h[new]
-
-
-def _chunks(batches, each: int = 1 << 20) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray]]:
-    """Documents in runs of about ``each`` bytes: doc_ids, ties, and (document, line, word) of their sets."""
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a byte array that ends in a blank."""
+    edge = np.flatnonzero(np.diff(_BLANK[raw], prepend=True))
+    return edge[::2], edge[1::2]
+
+
+class Chunk:
+    """Documents in order, joined by line breaks: their words and, on demand, the word sets of their lines."""
+
+    def __init__(self, ids: list[int], ties: list[int], parts: list[bytes]):
+        order = sorted(range(len(ids)), key=lambda k: (ids[k], ties[k]))
+        parts = [parts[k] for k in order]
+        self.ids, self.ties = np.array(ids, np.int64)[order], np.array(ties, np.int32)[order]
+        self.raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+        self.breaks = np.flatnonzero(self.raw == 10)
+        self.starts = np.concatenate([[0], self.breaks[:-1] + 1])
+        self.ends = np.cumsum([len(p) + 1 for p in parts])
+        self.hash = RangeHash(self.raw)
+
+    def word_hashes(self) -> np.ndarray:
+        return self.hash(*_words(self.raw))
+
+    def line_hashes(self) -> np.ndarray:
+        """Of the bytes of every line."""
+        return self.hash(self.starts, self.breaks)
+
+    def sets(self, rarity: np.ndarray | None = None, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, first, words): the lines that have words, where each begins, and their distinct words, rarest first."""
+        start, end = _words(self.raw)
+        line = np.searchsorted(self.breaks, start)
+        if only is not None:
+            some = only[line]
+            start, end, line = start[some], end[some], line[some]
+        h = self.hash(start, end)
+        rare = np.zeros(len(h), np.uint64) if rarity is None else rarity[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
+        new = np.diff(line, prepend=-1) > 0
+        nth = np.cumsum(new) - 1
+        low = (rare << np.uint64(40)) | (h & np.uint64((1 << 40) - 1))
+        if len(nth) and nth[-1] < 1 << 16:
+            packed = (nth.astype(np.uint64) << np.uint64(48)) | low
+            order = np.argsort(packed)
+            packed, h = packed[order], h[order]
+            same = packed[1:] == packed[:-1]
+            if (same & (h[1:] != h[:-1])).any():  # different words of equal lower bits
+                order = np.lexsort((h, packed))
+                packed, h = packed[order], h[order]
+                same = packed[1:] == packed[:-1]
+            nth = (packed >> np.uint64(48)).astype(np.int64)
+        else:
+            order = np.lexsort((h, low, nth))
+            nth, h = nth[order], h[order]
+            same = nth[1:] == nth[:-1]
+        fresh = np.append(True, ~same | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+        nth, h = nth[fresh], h[fresh]
+        return line[new], np.append(np.flatnonzero(np.diff(nth, prepend=-1)), len(nth)), h
+
+    def place(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """doc_id, tie and number within its document of each line."""
+        doc = np.searchsorted(self.ends, self.starts[line], "right")
+        first = np.searchsorted(self.starts, self.ends[doc] - np.diff(self.ends, prepend=0)[doc])
+        return self.ids[doc], self.ties[doc], (line - first).astype(np.int32)
+
+
+def _chunks(batches, each: int = 1 << 20) -> Iterator[Chunk]:
+    """Documents in runs of about ``each`` bytes."""
     ids, ties, parts, size = [], [], [], 0
-
-    def out():
-        joined = b"\n".join(parts)
-        line, word = _sets(joined)
-        first = np.concatenate([[0], np.cumsum([p.count(b"\n") + 1 for p in parts])])
-        doc = np.searchsorted(first, line, "right") - 1
-        return ids, ties, doc, line - first[doc], word
-
     for b in batches:
         for doc, tie, data in zip(b.column("doc_id").to_pylist(), b.column("tie").to_pylist(), b.column("data"), strict=True):
             ids.append(doc)
@@ -65,187 +107,233 @@ def _chunks(batches, each: int = 1 << 20) -> Iterator[tuple[list[int], list[int]
             parts.append(data.as_py())
             size += len(parts[-1])
             if size >= each:
-                yield out()
+                yield Chunk(ids, ties, parts)
                 ids, ties, parts, size = [], [], [], 0
     if ids:
-        yield out()
-
-
-def _line_bounds(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return np.append(np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1]))), len(doc)) if len(doc) else np.zeros(1, np.int64)
+        yield Chunk(ids, ties, parts)
 
 
 def _batch(cols: list, kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
 
-LINES = "doc_id long, tie long, line int, key long, n int, slot int, seen long"
+def _tallies(batches) -> Iterator[pa.RecordBatch]:
+    """Word counts by hash slot, in slices."""
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    for c in _chunks(batches):
+        total += np.bincount((c.word_hashes() >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
+    parts = total.reshape(-1, 1 << SLICE_BITS)
+    used = np.flatnonzero(parts.any(1))
+    yield _batch([used.astype(np.int32), [zlib.compress(parts[k].astype("<i8").tobytes(), 1) for k in used]], [pa.int32(), pa.binary()], ["slice", "tally"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i8") for x in table.column("tally"))
+    return pa.table({"slice": table.column("slice")[:1], "tally": pa.array([total.tobytes()], pa.binary())})
+
+
+def rarities(rows: DataFrame) -> np.ndarray:
+    """Per slot, eight bits that grow with the count of its words: 0 unused, 1 a single word.  The driver gets 2 ** SLOT_BITS numbers."""
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    sums = rows.mapInArrow(_tallies, "slice int, tally binary").groupBy("slice").applyInArrow(_summed, "slice int, tally binary")
+    for r in sums.collect():
+        total[r["slice"] << SLICE_BITS : (r["slice"] + 1) << SLICE_BITS] = np.frombuffer(r["tally"], "<i8")
+    return np.where(total > 0, np.minimum(1 + 7 * np.log2(np.maximum(total, 1)), 255), 0).astype(np.uint8)
+
+
+LINES = "doc_id long, tie int, line int, key long, text long"
 
 
 def _keys(batches) -> Iterator[pa.RecordBatch]:
-    """A row per line with the hash of its set, and at the end how many sets hold words of each sketch slot."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-    names = [x.split()[0] for x in LINES.split(", ")]
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    for ids, ties, doc, line, word in _chunks(batches):
-        sketch += np.bincount((word >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-        edge = _line_bounds(doc, line)
-        at = edge[:-1]
-        n = np.diff(edge)
-        key = mix(np.add.reduceat(mix(word), at) + n.astype(np.uint64)) if len(at) else word
-        none = np.full(len(at), None)
-        yield _batch([np.array(ids, np.int64)[doc[at]], np.array(ties, np.int64)[doc[at]], line[at].astype(np.int32), key.view(np.int64), n.astype(np.int32), none, none], kinds, names)
-    used = np.flatnonzero(sketch)
-    none = np.full(len(used), None)
-    yield _batch([none, none, none, none, none, used.astype(np.int32), sketch[used]], kinds, names)
-
-
-POSTINGS = "word long, doc_id long, tie long, line int, key long, n int, pos int"
-
-
-def _prefixes(rarity: np.ndarray):
-    """The rarest words of every line; a line met twice in the same run of documents is sent once."""
-    kinds = [*[pa.int64()] * 3, pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-    names = [x.split()[0] for x in POSTINGS.split(", ")]
+    """A row per line that has words, with the hashes of its set and of its bytes."""
+    for c in _chunks(batches):
+        line, at, h = c.sets()
+        if len(line):
+            doc, tie, number = c.place(line)
+            yield _batch([doc, tie, number, _key(at, h).view(np.int64), c.line_hashes()[line].view(np.int64)], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()], ["doc_id", "tie", "line", "key", "text"])
+
+
+def _key(at: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return mix(np.add.reduceat(mix(h), at[:-1]) + np.diff(at).astype(np.uint64))
+
+
+POSTINGS = "word long, doc_id long, tie int, line int, key long, sign long, n int, pos int"
+
+
+def _prefixes(rarity: np.ndarray, words: np.ndarray | None = None):
+    """The rarest words of every line, but words met once; a line met twice in the same run of documents is sent once.
+
+    ``words``: marks of the words to keep to.  Sets too small for a different set to be similar have no postings.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    names = ["word", "doc_id", "tie", "line", "key", "sign", "n", "pos"]
     a, b = THRESHOLD
 
     def run(batches):
-        for ids, ties, doc, line, word in _chunks(batches):
-            edge = _line_bounds(doc, line)
-            if len(edge) < 2:
+        for c in _chunks(batches):
+            line, at, h = c.sets(rarity)
+            if not len(line):
                 continue
-            at, n = edge[:-1], np.diff(edge)
-            key = mix(np.add.reduceat(mix(word), at) + n.astype(np.uint64))
-            owner = np.repeat(np.arange(len(at)), n)
-            order = np.lexsort((word, rarity[(word >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owner))
-            pos = np.arange(len(word)) - np.repeat(at, n)
-            long = n - (a * n + b - 1) // b + 1
-            low = np.array(ids, np.int64)[doc[at]]
-            by = np.lexsort((line[at], np.array(ties, np.int64)[doc[at]], low, key))
-            first = np.zeros(len(at), bool)
-            first[by[np.append(True, key[by][1:] != key[by][:-1])]] = True
-            take = first[owner] & (pos < long[owner])
+            n, key = np.diff(at), _key(at, h)
+            sign = np.bitwise_xor.reduceat(np.uint64(1) << (mix(h) >> np.uint64(58)), at[:-1])
+            first = np.zeros(len(line), bool)
+            first[np.unique(key, return_index=True)[1]] = True
+            owner = np.repeat(np.arange(len(line)), n)
+            pos = np.arange(len(h)) - at[:-1][owner]
+            take = (first & (b * n >= a * (n + 1)))[owner] & (pos < (n - (a * n + b - 1) // b + 1)[owner])
+            take &= rarity[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] > 1
+            if words is not None:
+                take &= marked(words, h)
             o = owner[take]
-            yield _batch([word[order][take].view(np.int64), low[o], np.array(ties, np.int64)[doc[at]][o], line[at][o].astype(np.int32), key[o].view(np.int64), n[o].astype(np.int32), pos[take].astype(np.int32)], kinds, names)
+            doc, tie, number = c.place(line)
+            yield _batch([h[take].view(np.int64), doc[o], tie[o], number[o], key[o].view(np.int64), sign[o].view(np.int64), n[o], pos[take]], kinds, names)
 
     return run
 
 
-def fits(n, pos, m, at):
-    """Length and positional filter for sets of n and m words sharing the word at pos and at."""
+def fits(n, pos, sign, m, at, other):
+    """Length, positional and signature filter for sets of n and m words that share the word at pos and at."""
     a, b = THRESHOLD
-    rest = np.minimum(n - pos, m - at) if isinstance(n, np.ndarray) else F.least(n - pos, m - at)
-    return (b * m >= a * n) & (b * n >= a * m) & ((a + b) * rest >= a * (n + m))
-
-
-CANDIDATES = "x long, y long, deep boolean, word long"
-
-
-def _stream(held_most: int):
-    """Postings by word and line order: pairs with the first lines of the word, and who stands beyond them."""
-    kinds, names = [pa.int64(), pa.int64(), pa.bool_(), pa.int64()], ["x", "y", "deep", "word"]
+    if isinstance(n, Column):
+        rest, differ = F.least(n - pos, m - at), F.bit_count(sign.bitwiseXOR(other))
+    else:
+        rest, differ = np.minimum(n - pos, m - at), np.bitwise_count(sign ^ other).astype(np.int64)
+    return (b * m >= a * n) & (b * n >= a * m) & ((a + b) * rest >= a * (n + m)) & ((a + b) * differ <= (b - a) * (n + m))
+
+
+CANDIDATES = "x long, y long, word long"
+
+
+class _List:
+    """The lines of one word so far: the first different ones are held."""
+
+    def __init__(self, held: int, pairs: int):
+        self.held, self.pairs, self.word, self.seen = held, pairs, None, 0
+        self.rows = [np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64)]
+
+    def add(self, word: int, rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(x, y, whether x needs a complete comparison) for further lines (key, sign, n, pos) of a word."""
+        if word != self.word:
+            self.__init__(self.held, self.pairs)
+            self.word = word
+        new = np.sort(np.unique(rows[0], return_index=True)[1])
+        new = new[~np.isin(rows[0][new], self.rows[0])] if len(self.rows[0]) else new
+        rows, base = [x[new] for x in rows], len(self.rows[0])
+        self.rows = [np.append(h, x[: self.held - base]) for h, x in zip(self.rows, rows, strict=True)]
+        hk, hs, hn, hp = self.rows
+        key, sign, n, pos = rows
+        step = max(1, (1 << 18) // max(1, len(hk)))
+        for i in range(0, len(key), step):
+            z = slice(i, min(i + step, len(key)))
+            width = min(len(hk), base + z.stop)
+            ok = fits(n[z, None], pos[z, None], sign[z, None], hn[None, :width], hp[None, :width], hs[None, :width])
+            mine = base + np.arange(z.start, z.stop)
+            ok &= np.arange(width)[None, :] < mine[:, None]
+            rank = np.cumsum(ok, 1)
+            r, c = np.nonzero(ok & (rank <= self.pairs))
+            more = (rank[:, -1] > self.pairs) | (self.seen + np.arange(z.start, z.stop) > self.held) if width else mine < 0
+            yield key[z][r], hk[c], key[z][more]
+        self.seen += len(key)
+
+
+def _stream(held: int, pairs: int, small: int = 32):
+    """Postings by word and line order to candidates, and to (x, null, word) for lines that may have others."""
+    names, kinds = ["x", "y", "word"], [pa.int64()] * 3
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        word_now = None
-        held: list[np.ndarray] = []  # key, n, pos of the first lines of the word
-        for b in batches:
-            if not b.num_rows:
+        now = _List(held, pairs)
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            word, key, n, pos = (b.column(c).to_numpy() for c in ("word", "key", "n", "pos"))
+            word, key, sign, n, pos = (batch.column(c).to_numpy() for c in ("word", "key", "sign", "n", "pos"))
+            sign, n, pos = sign.view(np.uint64), n.astype(np.int64), pos.astype(np.int64)
             edge = np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word))
             size = np.diff(edge)
-            xs, ys, deep = [], [], []
+            xs, ys, more = [], [], []
+            quick = size <= min(small, held)
+            quick[-1] = False  # may go on in the next batch
+            quick[0] &= word[0] != now.word
             # Words with few lines, all at once: the k-th earlier line of the same word.
-            whole = np.ones(len(size), bool)
-            whole[0] = word[0] != word_now
-            whole[-1] = False
-            small = np.repeat(whole & (size <= held_most), size)
-            rank = np.arange(len(word)) - np.repeat(edge[:-1], size)
-            for k in range(1, int(size[whole & (size <= held_most)].max(initial=0))):
-                i = np.flatnonzero(small & (rank >= k))
-                i = i[(key[i] != key[i - k])]
-                i = i[fits(n[i], pos[i], n[i - k], pos[i - k])]
+            inside = np.repeat(quick, size)
+            rank, had = np.arange(len(word)) - np.repeat(edge[:-1], size), np.zeros(len(word), np.int64)
+            for k in range(1, int(size[quick].max(initial=0))):
+                i = np.flatnonzero(inside & (rank >= k))
+                i = i[key[i] != key[i - k]]
+                i = i[fits(n[i], pos[i], sign[i], n[i - k], pos[i - k], sign[i - k])]
+                had[i] += 1
+                i = i[had[i] <= pairs]
                 xs.append(key[i])
                 ys.append(key[i - k])
-            for g in np.flatnonzero(~(whole & (size <= held_most))):
-                s, e = edge[g], edge[g + 1]
-                if word[s] != word_now:
-                    word_now, held = word[s], [np.zeros(0, np.int64)] * 3
-                for i in range(s, e):
-                    if len(held[0]) < held_most:
-                        if not (held[0] == key[i]).any():
-                            ok = fits(np.full(len(held[1]), n[i]), pos[i], held[1], held[2])
-                            ys.append(held[0][ok])
-                            xs.append(np.full(int(ok.sum()), key[i]))
-                            held = [np.append(x, y) for x, y in zip(held, (key[i], n[i], pos[i]), strict=True)]
-                        continue
-                    k, m, p = np.arange(i, e), n[i:e], pos[i:e]
-                    for j in range(held_most):
-                        ok = fits(m, p, np.full(len(m), held[1][j]), held[2][j]) & (key[k] != held[0][j])
-                        xs.append(key[k[ok]])
-                        ys.append(np.full(int(ok.sum()), held[0][j]))
-                    out = ~np.isin(key[k], held[0])
-                    deep.append((key[k[out]], np.full(int(out.sum()), word[s])))
-                    break
-            if whole[-1]:
-                word_now = None
+            i = np.flatnonzero(had > pairs)
+            more.append((key[i], word[i]))
+            for g in np.flatnonzero(~quick):
+                z = slice(edge[g], edge[g + 1])
+                for x, y, rest in now.add(word[z.start], [key[z], sign[z], n[z], pos[z]]):
+                    xs.append(x)
+                    ys.append(y)
+                    more.append((rest, np.full(len(rest), word[z.start])))
             x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (xs, ys))
-            pairs = np.unique(np.stack([x, y], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-            yield _batch([pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), bool), np.full(len(pairs), None)], kinds, names)
-            for k, w in deep:
-                yield _batch([k, np.full(len(k), None), np.ones(len(k), bool), w], kinds, names)
+            yield _batch([x, y, np.full(len(x), None)], kinds, names)
+            x, w = (np.concatenate(v) for v in zip(*more, strict=True))
+            yield _batch([x, np.full(len(x), None), w], kinds, names)
 
     return run
 
 
 def _marked(marks: np.ndarray):
-    """Whole sets of the lines whose key is marked."""
+    """Word sets of the lines whose bytes have their hash marked."""
     kinds, names = [pa.int64(), pa.list_(pa.int64())], ["key", "words"]
 
     def run(batches):
-        for _, _, doc, line, word in _chunks(batches):
-            edge = _line_bounds(doc, line)
-            if len(edge) < 2:
+        for c in _chunks(batches):
+            only = marked(marks, c.line_hashes())
+            if not only.any():
+                continue
+            line, at, h = c.sets(only=only)
+            if not len(line):
                 continue
-            key = mix(np.add.reduceat(mix(word), edge[:-1]) + np.diff(edge).astype(np.uint64))
-            hit = np.flatnonzero(marked(marks, key))
-            hit = hit[np.unique(key[hit], return_index=True)[1]]
-            yield _batch([key[hit].view(np.int64), [word[edge[i] : edge[i + 1]].view(np.int64) for i in hit]], kinds, names)
+            key, one = np.unique(_key(at, h), return_index=True)
+            yield _batch([key.view(np.int64), [h[at[i] : at[i + 1]].view(np.int64) for i in one]], kinds, names)
 
     return run
 
 
-def removed_keys(rows: DataFrame, lines: DataFrame, postings: DataFrame, work: Work, held: int) -> DataFrame:
+def removed_keys(rows: DataFrame, first: DataFrame, rarity: np.ndarray, work: Work, held: int, most: int) -> DataFrame:
     """Keys of sets that are similar to the set of an earlier line."""
-    first = work.put(lines.groupBy("key").agg(F.min(F.struct("doc_id", "tie", "line")).alias("first")), "first")
     a, b = THRESHOLD
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of (x, y) pairs of keys, the later key of each pair that is similar."""
         pairs = work.put(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"pairs-{name}")
-        need = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct()
-        marks = marks_of(need, "key")
-        sets = rows.mapInArrow(_marked(marks), "key long, words array<long>").groupBy("key").agg(F.first("words").alias("words"))
-        sets = work.put(need.join(sets, "key").join(first, "key"), f"sets-{name}")
+        need = work.put(pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct().join(first.drop("n"), "key"), f"need-{name}")
+        sets = rows.mapInArrow(_marked(marks_of(need.select("first.text"), "text")), "key long, words array<long>").groupBy("key").agg(F.first("words").alias("words"))
+        sets = work.put(need.join(sets, "key"), f"sets-{name}")
         left, right = (sets.select(F.col("key").alias(k), F.col("words").alias(f"{k}w"), F.col("first").alias(f"{k}f")) for k in "xy")
         both = pairs.join(left, "x").join(right, "y")
         same = F.size(F.array_intersect("xw", "yw"))
         similar = b * same >= a * (F.size("xw") + F.size("yw") - same)
-        return work.put(both.where(similar).select(F.when(F.col("xf") < F.col("yf"), F.col("y")).otherwise(F.col("x")).alias("key")).distinct(), f"gone-{name}")
-
-    streamed = postings.repartition("word").sortWithinPartitions("word", "doc_id", "tie", "line").select("word", "key", "n", "pos")
-    found = work.put(streamed.mapInArrow(_stream(held), CANDIDATES), "candidates")
-    gone = verified(found.where("not deep").select("x", "y"), "held")
-    left = work.put(found.where("deep").select(F.col("x").alias("key"), "word").distinct().join(gone, "key", "left_anti"), "deep")
+        out = work.put(both.where(similar).select(F.when(F.col("xf") < F.col("yf"), F.col("y")).otherwise(F.col("x")).alias("key")).distinct(), f"gone-{name}")
+        work.drop(f"pairs-{name}", f"need-{name}", f"sets-{name}")
+        return out
+
+    order = ["word", "doc_id", "tie", "line"]
+    streamed = rows.mapInArrow(_prefixes(rarity), POSTINGS).repartition("word").sortWithinPartitions(*order).select("word", "key", "sign", "n", "pos")
+    found = work.put(streamed.mapInArrow(_stream(held, most), CANDIDATES), "candidates")
+    gone = verified(found.where("y is not null").select("x", "y"), "held")
+    left = work.put(found.where("y is null").select(F.col("x").alias("key"), "word").distinct().join(gone, "key", "left_anti"), "left")
+    work.drop("candidates")
     if left.isEmpty():
         return gone
-    some = postings.join(left.select("word").distinct(), "word", "left_semi").select("word", "key", "n", "pos").distinct()
-    mine = some.join(left, ["word", "key"], "left_semi").select(*(F.col(c).alias(f"my_{c}") for c in ("word", "key", "n", "pos")))
-    pairs = mine.join(some, (F.col("my_word") == F.col("word")) & (F.col("key") != F.col("my_key")) & fits(F.col("my_n"), F.col("my_pos"), F.col("n"), F.col("pos")))
-    return gone.union(verified(pairs.select(F.col("my_key").alias("x"), F.col("key").alias("y")), "deep")).distinct()
+    columns = ("word", "key", "sign", "n", "pos")
+    some = rows.mapInArrow(_prefixes(rarity, marks_of(left, "word")), POSTINGS).join(left.select("word").distinct(), "word", "left_semi").select(*columns).distinct()
+    some = work.put(some, "lists")
+    mine = some.join(left, ["word", "key"], "left_semi").select(*(F.col(c).alias(f"my_{c}") for c in columns))
+    near = fits(*(F.col(c) for c in ("my_n", "my_pos", "my_sign", "n", "pos", "sign")))
+    pairs = mine.join(some, (F.col("my_word") == F.col("word")) & (F.col("key") != F.col("my_key")) & near)
+    return gone.union(verified(pairs.select(F.col("my_key").alias("x"), F.col("key").alias("y")), "rest")).distinct()
 
 
-def dedup_lines(docs: DataFrame, held: int = HELD) -> DataFrame:
+def dedup_lines(docs: DataFrame, held: int = HELD, pairs: int = PAIRS) -> DataFrame:
     """All columns of the input, with n_lines, removed (line numbers from 0) and kept_text.
 
     Input: doc_id, text and any others.  Lines are split at \\n; words at ASCII blanks; lines without words
@@ -253,21 +341,16 @@ def dedup_lines(docs: DataFrame, held: int = HELD) -> DataFrame:
     their text; rows equal in both share their fate.  An empty table gives no rows.  Columns named like
     the three new ones are replaced.
     """
-    spark = docs.sparkSession
-    work = Work(spark, "lines")
-    tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    work = Work(docs.sparkSession, "lines")
+    tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie.alias("tie"), utf8(F.col("text").cast("string")).alias("data"))
-    both = work.put(rows.mapInArrow(_keys, LINES), "lines")
-    lines = both.where("line is not null").select("doc_id", "tie", "line", "key")
-    rarity = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in both.where("slot is not null").groupBy("slot").agg(F.sum("seen").alias("n")).collect():  # at most 2 ** SKETCH_BITS rows
-        rarity[r["slot"]] = r["n"]
-    postings = rows.mapInArrow(_prefixes(rarity), POSTINGS)
-    gone = removed_keys(rows, lines, postings, work, held)
-    first = spark.read.parquet(work.path("first"))
-    repeated = lines.join(first, "key").where(F.struct("doc_id", "tie", "line") > F.col("first")).select("doc_id", "tie", "line")
-    similar = lines.join(gone, "key", "left_semi").select("doc_id", "tie", "line")
-    lost = work.put(repeated.unionByName(similar).groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
+    lines = work.put(rows.mapInArrow(_keys, LINES), "lines")
+    where = F.struct("doc_id", "tie", "line")
+    first = work.put(lines.groupBy("key").agg(F.min(F.struct("doc_id", "tie", "line", "text")).alias("first"), F.count("*").alias("n")), "first")
+    gone = removed_keys(rows, first, rarities(rows), work, held, pairs).withColumn("gone", F.lit(True))
+    fate = first.join(gone, "key", "left").where("gone or n > 1").select("key", "gone", F.struct("first.doc_id", "first.tie", "first.line").alias("first"))
+    lost = lines.drop("text").join(fate, "key").where(F.col("gone") | (where > F.col("first")))
+    lost = work.put(lost.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
     given = docs.drop("n_lines", "removed", "kept_text").withColumn("__tie", tie)
     keyed = lost.select(F.col("doc_id").alias("__doc"), F.col("tie").alias("__tie2"), "removed")
     out = given.join(keyed, (given["doc_id"] == keyed["__doc"]) & (given["__tie"] == keyed["__tie2"]), "left").drop("__doc", "__tie", "__tie2")

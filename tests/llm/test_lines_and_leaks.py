@@ -42,12 +42,12 @@ def made_lines(seed):
     return out
 
 
-@pytest.mark.parametrize(("seed", "held"), [(1, 64), (2, 2)])
-def test_lines(spark, seed, held):
+@pytest.mark.parametrize(("seed", "held", "most"), [(1, 64, 3), (2, 2, 3), (3, 64, 1)])
+def test_lines(spark, seed, held, most):
     texts = made_lines(seed)
     df = spark.createDataFrame([(i, x, 3, "k") for i, x in texts.items()], "doc_id long, text string, removed int, key string").repartition(5)
     want = brute_lines(texts)
-    rows = lines.dedup_lines(df, held).collect()
+    rows = lines.dedup_lines(df, held, most).collect()
     assert {r.doc_id: list(r.removed) for r in rows} == want
     for r in rows:
         assert r.key == "k" and r.n_lines == texts[r.doc_id].count("\n") + 1
@@ -58,13 +58,13 @@ def test_stream_compares_first_lines_and_reports_the_rest():
     import numpy as np
     import pyarrow as pa
 
-    n = 60
-    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(np.full(b - a, 7)), pa.array(np.arange(a, b)), pa.array(np.full(b - a, 10)), pa.array(np.zeros(b - a, np.int64))], ["word", "key", "n", "pos"])
+    n, kinds = 60, ["word", "key", "sign", "n", "pos"]
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(b - a, 7), np.arange(a, b), np.zeros(b - a, np.int64), np.full(b - a, 10), np.zeros(b - a, np.int64))], kinds)
     for cuts in ([0, 60], [0, 5, 30, 60], [0, 1, 2, 59, 60]):
-        got = pa.Table.from_batches(list(lines._stream(24)([batch(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))).to_pylist()
-        pairs = {(r["x"], r["y"]) for r in got if not r["deep"]}
-        assert pairs == {(x, y) for x in range(n) for y in range(min(x, 24))}
-        assert {r["x"] for r in got if r["deep"]} == set(range(24, n))
+        for most in (3, 100):
+            got = pa.Table.from_batches(list(lines._stream(24, most)([batch(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))).to_pylist()
+            assert {(r["x"], r["y"]) for r in got if r["word"] is None} == {(x, y) for x in range(n) for y in range(min(x, 24, most))}
+            assert {r["x"] for r in got if r["word"] == 7} == set(range(min(most, 24) + 1, n))
 
 
 def test_lines_edges(spark, documents, texts, nothing):
