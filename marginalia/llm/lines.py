@@ -4,7 +4,7 @@ A line is the set of its words.  It goes if an earlier line (smaller doc_id, the
 number) has Jaccard similarity ``THRESHOLD`` or more with it; lines are judged on the input.  Tokens are
 ordered by rarity; similar sets share a token among their rarest ones (prefix filter), at
 positions that leave enough room (positional filter), and have similar sizes (length filter).  A
-64-bit parity signature of each set bounds the symmetric difference from below and thins the candidates.
+128-bit parity signature of each set bounds the symmetric difference from below and thins the candidates.
 
 Equal sets are settled by one aggregation.  Of the rest, the postings of each rare token are
 streamed in line order: each is compared with the first ``HELD`` different lines of that token and gives at most
@@ -28,7 +28,7 @@ from .marks import marked, marks_of
 from .work import Work, utf8
 
 THRESHOLD = (4, 5)
-HELD, PAIRS = 1024, 3
+HELD, PAIRS = 1024, 2
 SLOT_BITS, SLICE_BITS = 18, 12
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -117,14 +117,23 @@ def _batch(cols: list, kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
 
-def _tallies(batches) -> Iterator[pa.RecordBatch]:
-    """Word counts by hash slot, in slices."""
+LINES = "doc_id long, tie int, line int, key long, text long, slice int, tally binary"
+
+
+def _keys(batches) -> Iterator[pa.RecordBatch]:
+    """A row per line that has words, with the hashes of its set and of its bytes; at the end word counts by hash slot, in slices."""
+    names, kinds = [x.split()[0] for x in LINES.split(", ")], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     total = np.zeros(1 << SLOT_BITS, np.int64)
     for c in _chunks(batches):
-        total += np.bincount((c.word_hashes() >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
+        line, at, h = c.sets()
+        if len(line):
+            total += np.bincount((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
+            none = np.full(len(line), None)
+            yield _batch([*c.place(line), _key(at, h).view(np.int64), c.line_hashes()[line].view(np.int64), none, none], kinds, names)
     parts = total.reshape(-1, 1 << SLICE_BITS)
     used = np.flatnonzero(parts.any(1))
-    yield _batch([used.astype(np.int32), [zlib.compress(parts[k].astype("<i8").tobytes(), 1) for k in used]], [pa.int32(), pa.binary()], ["slice", "tally"])
+    none = np.full(len(used), None)
+    yield _batch([*[none] * 5, used.astype(np.int32), [zlib.compress(parts[k].astype("<i8").tobytes(), 1) for k in used]], kinds, names)
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -132,32 +141,19 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"slice": table.column("slice")[:1], "tally": pa.array([total.tobytes()], pa.binary())})
 
 
-def rarities(rows: DataFrame) -> np.ndarray:
-    """Per slot, eight bits that grow with the count of its words: 0 unused, 1 a single word.  The driver gets 2 ** SLOT_BITS numbers."""
+def rarities(tallies: DataFrame) -> np.ndarray:
+    """Per slot, eight bits that grow with the number of sets that hold its words: 0 none, 1 a single one.  The driver gets 2 ** SLOT_BITS numbers."""
     total = np.zeros(1 << SLOT_BITS, np.int64)
-    sums = rows.mapInArrow(_tallies, "slice int, tally binary").groupBy("slice").applyInArrow(_summed, "slice int, tally binary")
-    for r in sums.collect():
+    for r in tallies.groupBy("slice").applyInArrow(_summed, "slice int, tally binary").collect():
         total[r["slice"] << SLICE_BITS : (r["slice"] + 1) << SLICE_BITS] = np.frombuffer(r["tally"], "<i8")
     return np.where(total > 0, np.minimum(1 + 7 * np.log2(np.maximum(total, 1)), 255), 0).astype(np.uint8)
 
 
-LINES = "doc_id long, tie int, line int, key long, text long"
-
-
-def _keys(batches) -> Iterator[pa.RecordBatch]:
-    """A row per line that has words, with the hashes of its set and of its bytes."""
-    for c in _chunks(batches):
-        line, at, h = c.sets()
-        if len(line):
-            doc, tie, number = c.place(line)
-            yield _batch([doc, tie, number, _key(at, h).view(np.int64), c.line_hashes()[line].view(np.int64)], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()], ["doc_id", "tie", "line", "key", "text"])
-
-
 def _key(at: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(h), at[:-1]) + np.diff(at).astype(np.uint64))
 
 
-POSTINGS = "word long, doc_id long, tie int, line int, key long, sign long, n int, pos int"
+POSTINGS = "word long, doc_id long, tie int, line int, key long, sign long, more long, n int, pos int"
 
 
 def _prefixes(rarity: np.ndarray, words: np.ndarray | None = None):
@@ -165,8 +161,8 @@ def _prefixes(rarity: np.ndarray, words: np.ndarray | None = None):
 
     ``words``: marks of the words to keep to.  Sets too small for a different set to be similar have no postings.
     """
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    names = ["word", "doc_id", "tie", "line", "key", "sign", "n", "pos"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    names = [x.split()[0] for x in POSTINGS.split(", ")]
     a, b = THRESHOLD
 
     def run(batches):
@@ -175,29 +171,31 @@ def _prefixes(rarity: np.ndarray, words: np.ndarray | None = None):
             if not len(line):
                 continue
             n, key = np.diff(at), _key(at, h)
-            sign = np.bitwise_xor.reduceat(np.uint64(1) << (mix(h) >> np.uint64(58)), at[:-1])
+            bit = mix(h) >> np.uint64(57)  # of two 64-bit halves
+            one = np.uint64(1) << (bit & np.uint64(63))
+            sign, more = (np.bitwise_xor.reduceat(np.where(half, one, np.uint64(0)), at[:-1]) for half in (bit < 64, bit >= 64))
             first = np.zeros(len(line), bool)
             first[np.unique(key, return_index=True)[1]] = True
             owner = np.repeat(np.arange(len(line)), n)
             pos = np.arange(len(h)) - at[:-1][owner]
             take = (first & (b * n >= a * (n + 1)))[owner] & (pos < (n - (a * n + b - 1) // b + 1)[owner])
-            take &= rarity[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] > 1
+            take &= rarity[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] > 1  # met once: no partner
             if words is not None:
                 take &= marked(words, h)
             o = owner[take]
             doc, tie, number = c.place(line)
-            yield _batch([h[take].view(np.int64), doc[o], tie[o], number[o], key[o].view(np.int64), sign[o].view(np.int64), n[o], pos[take]], kinds, names)
+            yield _batch([h[take].view(np.int64), doc[o], tie[o], number[o], key[o].view(np.int64), sign[o].view(np.int64), more[o].view(np.int64), n[o], pos[take]], kinds, names)
 
     return run
 
 
-def fits(n, pos, sign, m, at, other):
+def fits(n, pos, sign, more, m, at, other, others):
     """Length, positional and signature filter for sets of n and m words that share the word at pos and at."""
     a, b = THRESHOLD
     if isinstance(n, Column):
-        rest, differ = F.least(n - pos, m - at), F.bit_count(sign.bitwiseXOR(other))
+        rest, differ = F.least(n - pos, m - at), F.bit_count(sign.bitwiseXOR(other)) + F.bit_count(more.bitwiseXOR(others))
     else:
-        rest, differ = np.minimum(n - pos, m - at), np.bitwise_count(sign ^ other).astype(np.int64)
+        rest, differ = np.minimum(n - pos, m - at), np.bitwise_count(sign ^ other).astype(np.int64) + np.bitwise_count(more ^ others)
     return (b * m >= a * n) & (b * n >= a * m) & ((a + b) * rest >= a * (n + m)) & ((a + b) * differ <= (b - a) * (n + m))
 
 
@@ -209,10 +207,10 @@ class _List:
 
     def __init__(self, held: int, pairs: int):
         self.held, self.pairs, self.word, self.seen = held, pairs, None, 0
-        self.rows = [np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64)]
+        self.rows = [np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64)]
 
     def add(self, word: int, rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(x, y, whether x needs a complete comparison) for further lines (key, sign, n, pos) of a word."""
+        """(x, y, whether x needs a complete comparison) for further lines (key, sign, more, n, pos) of a word."""
         if word != self.word:
             self.__init__(self.held, self.pairs)
             self.word = word
@@ -220,19 +218,19 @@ class _List:
         new = new[~np.isin(rows[0][new], self.rows[0])] if len(self.rows[0]) else new
         rows, base = [x[new] for x in rows], len(self.rows[0])
         self.rows = [np.append(h, x[: self.held - base]) for h, x in zip(self.rows, rows, strict=True)]
-        hk, hs, hn, hp = self.rows
-        key, sign, n, pos = rows
+        hk, hs, hm, hn, hp = self.rows
+        key, sign, more, n, pos = rows
         step = max(1, (1 << 18) // max(1, len(hk)))
         for i in range(0, len(key), step):
             z = slice(i, min(i + step, len(key)))
             width = min(len(hk), base + z.stop)
-            ok = fits(n[z, None], pos[z, None], sign[z, None], hn[None, :width], hp[None, :width], hs[None, :width])
+            ok = fits(n[z, None], pos[z, None], sign[z, None], more[z, None], hn[None, :width], hp[None, :width], hs[None, :width], hm[None, :width])
             mine = base + np.arange(z.start, z.stop)
             ok &= np.arange(width)[None, :] < mine[:, None]
             rank = np.cumsum(ok, 1)
             r, c = np.nonzero(ok & (rank <= self.pairs))
-            more = (rank[:, -1] > self.pairs) | (self.seen + np.arange(z.start, z.stop) > self.held) if width else mine < 0
-            yield key[z][r], hk[c], key[z][more]
+            rest = (rank[:, -1] > self.pairs) | (self.seen + np.arange(z.start, z.stop) > self.held) if width else mine < 0
+            yield key[z][r], hk[c], key[z][rest]
         self.seen += len(key)
 
 
@@ -245,36 +243,36 @@ def _stream(held: int, pairs: int, small: int = 32):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            word, key, sign, n, pos = (batch.column(c).to_numpy() for c in ("word", "key", "sign", "n", "pos"))
-            sign, n, pos = sign.view(np.uint64), n.astype(np.int64), pos.astype(np.int64)
+            word, key, sign, more, n, pos = (batch.column(c).to_numpy() for c in ("word", "key", "sign", "more", "n", "pos"))
+            sign, more, n, pos = sign.view(np.uint64), more.view(np.uint64), n.astype(np.int64), pos.astype(np.int64)
             edge = np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word))
             size = np.diff(edge)
-            xs, ys, more = [], [], []
+            xs, ys, others = [], [], []
             quick = size <= min(small, held)
             quick[-1] = False  # may go on in the next batch
             quick[0] &= word[0] != now.word
             # Words with few lines, all at once: the k-th earlier line of the same word.
             inside = np.repeat(quick, size)
             rank, had = np.arange(len(word)) - np.repeat(edge[:-1], size), np.zeros(len(word), np.int64)
-            for k in range(1, int(size[quick].max(initial=0))):
+            for k in range(int(size[quick].max(initial=1)) - 1, 0, -1):
                 i = np.flatnonzero(inside & (rank >= k))
                 i = i[key[i] != key[i - k]]
-                i = i[fits(n[i], pos[i], sign[i], n[i - k], pos[i - k], sign[i - k])]
+                i = i[fits(n[i], pos[i], sign[i], more[i], n[i - k], pos[i - k], sign[i - k], more[i - k])]
                 had[i] += 1
                 i = i[had[i] <= pairs]
                 xs.append(key[i])
                 ys.append(key[i - k])
             i = np.flatnonzero(had > pairs)
-            more.append((key[i], word[i]))
+            others.append((key[i], word[i]))
             for g in np.flatnonzero(~quick):
                 z = slice(edge[g], edge[g + 1])
-                for x, y, rest in now.add(word[z.start], [key[z], sign[z], n[z], pos[z]]):
+                for x, y, rest in now.add(word[z.start], [key[z], sign[z], more[z], n[z], pos[z]]):
                     xs.append(x)
                     ys.append(y)
-                    more.append((rest, np.full(len(rest), word[z.start])))
+                    others.append((rest, np.full(len(rest), word[z.start])))
             x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (xs, ys))
             yield _batch([x, y, np.full(len(x), None)], kinds, names)
-            x, w = (np.concatenate(v) for v in zip(*more, strict=True))
+            x, w = (np.concatenate(v) for v in zip(*others, strict=True))
             yield _batch([x, np.full(len(x), None), w], kinds, names)
 
     return run
@@ -316,19 +314,18 @@ def removed_keys(rows: DataFrame, first: DataFrame, rarity: np.ndarray, work: Wo
         work.drop(f"pairs-{name}", f"need-{name}", f"sets-{name}")
         return out
 
-    order = ["word", "doc_id", "tie", "line"]
-    streamed = rows.mapInArrow(_prefixes(rarity), POSTINGS).repartition("word").sortWithinPartitions(*order).select("word", "key", "sign", "n", "pos")
+    order, columns = ["word", "doc_id", "tie", "line"], ("word", "key", "sign", "more", "n", "pos")
+    streamed = rows.mapInArrow(_prefixes(rarity), POSTINGS).repartition("word").sortWithinPartitions(*order).select(*columns)
     found = work.put(streamed.mapInArrow(_stream(held, most), CANDIDATES), "candidates")
     gone = verified(found.where("y is not null").select("x", "y"), "held")
     left = work.put(found.where("y is null").select(F.col("x").alias("key"), "word").distinct().join(gone, "key", "left_anti"), "left")
     work.drop("candidates")
     if left.isEmpty():
         return gone
-    columns = ("word", "key", "sign", "n", "pos")
     some = rows.mapInArrow(_prefixes(rarity, marks_of(left, "word")), POSTINGS).join(left.select("word").distinct(), "word", "left_semi").select(*columns).distinct()
     some = work.put(some, "lists")
     mine = some.join(left, ["word", "key"], "left_semi").select(*(F.col(c).alias(f"my_{c}") for c in columns))
-    near = fits(*(F.col(c) for c in ("my_n", "my_pos", "my_sign", "n", "pos", "sign")))
+    near = fits(*(F.col(c) for c in ("my_n", "my_pos", "my_sign", "my_more", "n", "pos", "sign", "more")))
     pairs = mine.join(some, (F.col("my_word") == F.col("word")) & (F.col("key") != F.col("my_key")) & near)
     return gone.union(verified(pairs.select(F.col("my_key").alias("x"), F.col("key").alias("y")), "rest")).distinct()
 
@@ -344,10 +341,11 @@ def dedup_lines(docs: DataFrame, held: int = HELD, pairs: int = PAIRS) -> DataFr
     work = Work(docs.sparkSession, "lines")
     tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie.alias("tie"), utf8(F.col("text").cast("string")).alias("data"))
-    lines = work.put(rows.mapInArrow(_keys, LINES), "lines")
+    both = work.put(rows.mapInArrow(_keys, LINES), "lines")
+    lines = both.where("line is not null").select("doc_id", "tie", "line", "key", "text")
     where = F.struct("doc_id", "tie", "line")
     first = work.put(lines.groupBy("key").agg(F.min(F.struct("doc_id", "tie", "line", "text")).alias("first"), F.count("*").alias("n")), "first")
-    gone = removed_keys(rows, first, rarities(rows), work, held, pairs).withColumn("gone", F.lit(True))
+    gone = removed_keys(rows, first, rarities(both.where("slice is not null").select("slice", "tally")), work, held, pairs).withColumn("gone", F.lit(True))
     fate = first.join(gone, "key", "left").where("gone or n > 1").select("key", "gone", F.struct("first.doc_id", "first.tie", "first.line").alias("first"))
     lost = lines.drop("text").join(fate, "key").where(F.col("gone") | (where > F.col("first")))
     lost = work.put(lost.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")

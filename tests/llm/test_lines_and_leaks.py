@@ -58,8 +58,8 @@ def test_stream_compares_first_lines_and_reports_the_rest():
     import numpy as np
     import pyarrow as pa
 
-    n, kinds = 60, ["word", "key", "sign", "n", "pos"]
-    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(b - a, 7), np.arange(a, b), np.zeros(b - a, np.int64), np.full(b - a, 10), np.zeros(b - a, np.int64))], kinds)
+    n, kinds = 60, ["word", "key", "sign", "more", "n", "pos"]
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(b - a, 7), np.arange(a, b), np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), np.full(b - a, 10), np.zeros(b - a, np.int64))], kinds)
     for cuts in ([0, 60], [0, 5, 30, 60], [0, 1, 2, 59, 60]):
         for most in (3, 100):
             got = pa.Table.from_batches(list(lines._stream(24, most)([batch(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))).to_pylist()
