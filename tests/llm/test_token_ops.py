@@ -145,3 +145,14 @@ def test_sharding_equal_rows_and_hot_text(spark, nothing):
     hot = max(load.values())
     rest = [v for v in load.values() if v != hot]
     assert len(rest) == 7 and max(rest) - min(rest) <= 400
+
+
+def test_encoder_is_the_library():
+    import random
+
+    from marginalia.llm.tokens import encoder
+
+    r, enc = random.Random(4), encoder(default_vocabulary())
+    signs = ["a", "the", "Thing", "été", " ", " ", " ", "  ", "\n", "\n\n", "\t", ".", ",", "'s", "'", "12", "\r\n", "#", "<|endoftext|>"]
+    some = ["".join(r.choice(signs) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["日本 x", " lead", "trail ", "\n", " "]
+    assert list(enc.blobs([*some, None])) == [np.array(ids_of(x, 0)[:-1], "<u4").tobytes() for x in some] + [b""]
