@@ -30,6 +30,7 @@ from .work import Work, utf8
 THRESHOLD = (4, 5)
 HELD, PAIRS = 1024, 2
 SLOT_BITS, SLICE_BITS = 18, 12
+_TOP = np.uint64(0xFFFFFFFF << 32)  # of a word's hash, what names its list: words that share a list cost time, not results
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
@@ -184,7 +185,7 @@ def _prefixes(rarity: np.ndarray, words: np.ndarray | None = None):
                 take &= marked(words, h)
             o = owner[take]
             doc, tie, number = c.place(line)
-            yield _batch([h[take].view(np.int64), doc[o], tie[o], number[o], key[o].view(np.int64), sign[o].view(np.int64), more[o].view(np.int64), n[o], pos[take]], kinds, names)
+            yield _batch([(h[take] & _TOP).view(np.int64), doc[o], tie[o], number[o], key[o].view(np.int64), sign[o].view(np.int64), more[o].view(np.int64), n[o], pos[take]], kinds, names)
 
     return run
 
@@ -339,7 +340,8 @@ def dedup_lines(docs: DataFrame, held: int = HELD, pairs: int = PAIRS) -> DataFr
     the three new ones are replaced.
     """
     work = Work(docs.sparkSession, "lines")
-    tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()  # else there's nothing to break ties of
+    tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") if repeated else F.lit(0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie.alias("tie"), utf8(F.col("text").cast("string")).alias("data"))
     both = work.put(rows.mapInArrow(_keys, LINES), "lines")
     lines = both.where("line is not null").select("doc_id", "tie", "line", "key", "text")
