@@ -15,11 +15,14 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import parts_for, utf8
+from .marks import marked, marks_of
+from .work import Work, parts_for, utf8
 
 END = b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
@@ -31,10 +34,9 @@ def digest_of(payload: bytes) -> str:
 
 
 def base32(hex_digest: Column) -> Column:
-    """Base32 of a SHA-1 given as 40 hex digits, with column functions: five bits a sign."""
-    bits = F.concat(*(F.lpad(F.conv(F.substring(hex_digest, 1 + 10 * k, 10), 16, 2), 40, "0") for k in range(4)))
-    alphabet = F.lit(_BASE32)
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(alphabet, (F.conv(F.substring(bits, i * 5 + 1, 5), 2, 10).cast("int") + 1), 1)), "")
+    """Base32 of a SHA-1 given as 40 hex digits, with column functions: ten hex digits are eight signs."""
+    signs = F.concat(*(F.lpad(F.conv(F.substring(hex_digest, 1 + 10 * k, 10), 16, 32), 8, "0") for k in range(4)))
+    return F.translate(signs, "0123456789ABCDEFGHIJKLMNOPQRSTUV", _BASE32)
 
 
 def _record(kind, page_id, url, digest, refers_to, stamp: str):
@@ -53,8 +55,18 @@ def plan(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     body = utf8(F.col("html").cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("hash", F.sha1("payload"))
-    first = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("hash").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    found = rows.join(first, "hash", "left")
+    work = Work(pages.sparkSession, "warc-plan")
+    dup = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("hash").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
+    dup = work.put(dup, "repeated")
+    # A bitmap of fixed size tells which payloads may be repeated; only those go through the join.
+    marks = marks_of(dup.select(F.xxhash64("hash").alias("h")), "h")
+
+    @F.pandas_udf("boolean")
+    def may_repeat(h: pd.Series) -> pd.Series:
+        return pd.Series(marked(marks, h.to_numpy().view(np.uint64)))
+
+    flagged = rows.withColumn("maybe", may_repeat(F.xxhash64("hash")))
+    found = flagged.where("maybe").join(dup, "hash", "left").unionByName(flagged.where("not maybe").withColumn("first", F.lit(None).cast("long"))).drop("maybe")
     return found.withColumn("refers_to", F.when(F.col("first") < F.col("page_id"), F.col("first"))).withColumn("digest", base32(F.col("hash"))).drop("hash", "first")
 
 
@@ -65,14 +77,15 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = 8 <
     response and the others revisit it; rows that repeat the smallest page_id are responses too.
     An empty table gives no records.  A revisit says its full payload's length in a header of its own.
     """
-    total = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")))).first()[0]
+    total, n = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")) + 500), F.count("*")).first()
     rows = plan(pages, min_bytes)
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
     head = _record(kind, F.col("page_id"), F.col("url"), F.col("digest"), F.col("refers_to"), stamp)
     body = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
     sized = F.concat(head, F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    files = rows.select(F.concat(F.encode(sized, "UTF-8"), body).cast("string").alias("value"), "page_id")
-    files.repartition(parts_for(total, file_bytes), "page_id").select("value").write.option("lineSep", END.decode()).text(path)
+    files = rows.select(F.concat(F.encode(sized, "UTF-8"), body).cast("string").alias("value"))
+    each = max(1, n // parts_for(total, file_bytes))
+    files.select("value").write.option("lineSep", END.decode()).option("maxRecordsPerFile", each).text(path)
 
 
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
