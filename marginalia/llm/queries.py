@@ -66,4 +66,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_line_dedup, op4_sharding, op5_chat, op6_token_files, op7_quality, op8_decontamination, op9_warc, op10_simhash)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _quality_sql() -> str:
+    blank, stop = r"[\x20\x09-\x0D]", str(list(dict.fromkeys(quality.STOP_WORDS)))
+    tests = ["NOT base_failed"]
+    for r in quality.RULES:
+        base = "1" if r.base == "one" else r.base
+        bounds = [f"1000 * {r.feature} >= {r.low} * {base}"] * (r.low is not None) + [f"1000 * {r.feature} <= {r.high} * {base}"] * (r.high is not None)
+        tests.append(f"(n_words < {r.least_words} OR ({' AND '.join(bounds)}))")
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '{blank}+', '', 'g') <> '') AS ls FROM t),
+starts AS (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w), win AS (SELECT rid, i, list_slice(ws, i, i + 4) AS g FROM starts),
+twice AS (SELECT rid, g FROM win GROUP BY rid, g HAVING count(*) > 1), rep AS (SELECT rid, i FROM win SEMI JOIN twice USING (rid, g)),
+cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(0, 5)) AS k) GROUP BY rid),
+f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{blank}+', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+ CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(list_filter(ws, lambda x: list_contains({stop}, lower(x)))) AS BIGINT) AS n_stop_words, CAST(len(ls) AS BIGINT) AS n_lines FROM w LEFT JOIN cov USING (rid)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT *, {' AND '.join(tests)} AS kept FROM b"""
+
+
+_ESCAPED = "(length({0}) + len(regexp_extract_all({0}, '\\\\|</?s>|\\[/?INST\\]')))"
+_CHAT_SQL = f"""WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) x),
+turns AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss, CASE WHEN role = 'assistant' THEN 7 ELSE 13 END + 2 + {_ESCAPED.format("role")} + length(role) - length(replace(role, chr(10), '')) + {_ESCAPED.format("text")} AS size FROM said)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, CAST(sum(length(loss)) AS BIGINT) AS loss_chars,
+sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars FROM turns GROUP BY conv_id"""
+
+#: SQL can't say the others: they tokenise, hash with XXH64, or follow links.  Their tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op5_chat": _CHAT_SQL, "op7_quality": _quality_sql()}
