@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from .operators import rules
 from .plans.registry import Config, registry, thresholds
 from .sources import files as S
 from .sources import parse
+from .sources.kept import kept as keep
 
 
 @dataclass
@@ -71,26 +71,25 @@ def check(files: DataFrame, config: Config | None = None, unreadable: DataFrame
     """
     spark, config = files.sparkSession, config or Config()
     marker, reg, limits = config.ignore_marker, registry(spark, config), thresholds(spark, config)
-    kept = files.where(F.col("content").isNotNull() & S.not_excluded(F.col("path"), config.excluded_paths) & ~S.is_generated(F.col("lang"), F.col("content")))
-    # Facts are read by many branches; they spill to disk, and a lost executor costs a parse of its files.
-    facts = parse.facts(kept).repartition("path").persist(StorageLevel.MEMORY_AND_DISK)
+    source = files.where(F.col("content").isNotNull() & S.not_excluded(F.col("path"), config.excluded_paths) & ~S.is_generated(F.col("lang"), F.col("content")))
+    facts = keep(parse.facts(source))  # read by many branches, so each file is parsed once
     part = lambda name: facts.select("path", "lang", "file_error", F.explode(name).alias("x")).select("path", "lang", "file_error", "x.*")
     nodes, subjects, symbols = part("nodes").drop("lang", "file_error"), part("subjects").drop("file_error"), part("symbols").drop("lang", "file_error")
-    comments = B.marked(B.with_runs(part("comments").drop("file_error")), marker)
+    comments = keep(B.marked(B.with_runs(part("comments").drop("file_error")), marker))
     notes = comments.where(F.col("rule").isNotNull() & ~F.col("is_directive")).select("path", "start", "end", "start_row", "rule", "reason")
-    joined = B.attach(B.blocks_of(comments), nodes)
+    joined = keep(B.attach(B.blocks_of(comments), nodes))
     held, loose = B.bind(joined, notes)
-    held = held.join(B.without_licence(joined).select("path", "block"), ["path", "block"], "left_semi")
+    held = keep(held.join(B.without_licence(joined).select("path", "block"), ["path", "block"], "left_semi"))
     blocks = B.without_licence(joined).join(facts.select("path", "file_error"), "path").join(F.broadcast(limits), "lang")
-    blocks = blocks.join(subjects.select("path", "subject", "member_count", F.col("vis").alias("subject_vis")), ["path", "subject"], "left")
+    blocks = keep(blocks.join(subjects.select("path", "subject", "member_count", F.col("vis").alias("subject_vis")), ["path", "subject"], "left"))
     maybe = blocks.where(F.col("body").rlike(r"[=(){}\[\];|<>$\-.]|^\s*(return|break|continue|import)\b") & (F.col("kind") != "doc"))
     code = maybe.select("path", "block", "lang", "body").mapInPandas(_code_bodies, "path string, block int, code boolean").where("code")
     leaks = rules.leaked_names(blocks.where("kind = 'doc' and subject_vis = 'exported'"), symbols, config.common_words)
     ready = blocks.join(code, ["path", "block"], "left").join(leaks, ["path", "block"], "left").withColumn("code", F.coalesce("code", F.lit(False)))
-    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
-    tried = D.allowed(ready, reg)
+    ready = keep(ready)
+    tried = keep(D.allowed(ready, reg))
     ran = tried.where("not withheld").select("path", "block", "rule", "tier", "fix", "lang", "kind")
-    hits = D.without_losers(rules.block_hits(ready, marker).join(ran, ["path", "block", "rule"]))
+    hits = keep(D.without_losers(rules.block_hits(ready, marker).join(ran, ["path", "block", "rule"])))
     place = ready.select("path", "block", "start", "end")
     found = D.suppressed(hits.join(place, ["path", "block"]), held)
     of_rule = lambda rule: F.broadcast(reg.where(f"enabled and rule = '{rule}'").select("lang", "kind", "tier", "fix", "rule"))
@@ -115,7 +114,8 @@ def check(files: DataFrame, config: Config | None = None, unreadable: DataFrame
         return df.select("path", "lang", "kind", pick("block", "int", None), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"), "rule", "tier", "fix", "instruction", pick("note", "string", None), pick("suppressed", "boolean", False), F.lit(ord_).alias("ord"))
 
     every = shaped(found, "start", "end", 0).unionByName(shaped(dense, "start", "end", 1)).unionByName(shaped(bare, "directive_start", "directive_end", 2)).unionByName(shaped(dead, "directive_start", "directive_end", 3))
-    starts = kept.select("path", "content").join(every.groupBy("path").agg(F.array_sort(F.collect_set("start")).alias("starts")), "path").mapInPandas(_places, "path string, start long, line long, col long")
+    every = keep(every)
+    starts = source.select("path", "content").join(every.groupBy("path").agg(F.array_sort(F.collect_set("start")).alias("starts")), "path").mapInPandas(_places, "path string, start long, line long, col long")
     findings = R.without_repeats(every.join(starts, ["path", "start"]))
     lost = tried.where("withheld").select("path", "rule").unionByName(thick.where("withheld").select("path", "rule"))
     withheld = D.withheld_rules(lost.withColumn("withheld", F.lit(True)))
