@@ -4,13 +4,18 @@ Words become typed tokens: a number, a unit after a number, and a capitalised wo
 one turn into placeholders, all others are compared in lower case.  Windows of ``WINDOW`` tokens of
 both sides meet by hash.  Matches of a document and an item on one diagonal are a copy of the
 template; it counts if every value in the item's slots stands for one value in the document, so
-that a question with new names and numbers is caught and chance agreement isn't.
+that a question with new names and numbers is caught and chance agreement isn't.  Windows of the
+plain words in one case meet as well, so that a copy in any case is caught: what is a placeholder
+hangs on the case of a word.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,12 @@ NUMBER, UNIT, NAME = 1, 2, 3
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Kinds of windows: of canonical tokens, and of plain words.
+TEMPLATE, PLAIN = 0, 1
+#: Tokens that are put together before they are hashed.
+CHUNK = 200_000
+
+
 def _hash(word: str) -> int:
     from xxhash import xxh64_intdigest
 
@@ -36,109 +47,203 @@ def _hash(word: str) -> int:
 
 
 class _Tokens(dict):
-    """Word to (literal hash, kind of placeholder or 0, hash as a slot's value); emptied when large."""
+    """Word to its place in the columns: literal hash, which is its value in a slot too, and kind of placeholder or 0."""
 
-    def __missing__(self, word: str) -> tuple[int, int, int]:
+    def __init__(self):
+        self.hashes, self.kinds = array("Q"), array("b")
+
+    def __missing__(self, word: str) -> int:
         low = word.lower()
         kind = NUMBER if word[0].isdigit() else UNIT if low in UNITS else NAME if word[0].isupper() and low not in _COMMON else 0
-        if len(self) > 500_000:
-            self.clear()
-        made = self[word] = (_hash(low), kind, _hash(low))
+        self.hashes.append(_hash(word.casefold()))
+        self.kinds.append(kind)
+        made = self[word] = len(self.kinds) - 1
         return made
 
 
 _tokens = _Tokens()
 
 
-def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Canonical token hashes, which of them are placeholders, and the value each stands for."""
-    found = [_tokens[w] for w in _TOKEN.findall(text or "")]
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
-    literal, kind, value = (np.array(x, t) for x, t in zip(zip(*found, strict=True), (np.uint64, np.int64, np.uint64), strict=True))
-    unit_here = np.append(False, kind[:-1] == NUMBER)
-    kind = np.where((kind == UNIT) & ~unit_here, 0, kind)
-    return np.where(kind > 0, kind.astype(np.uint64), literal), kind > 0, value.view(np.int64)
+class Canonical:
+    """Tokens of some texts one after another.
+
+    word: hash of each word whatever its case.  token: its canonical hash.  slot: whether that is a placeholder.
+    bounds: where each text starts, and the end of the last.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        global _tokens
+        if len(_tokens) > 500_000:
+            _tokens = _Tokens()
+        found = [np.fromiter(map(_tokens.__getitem__, _TOKEN.findall(t or "")), np.int64) for t in texts]
+        self.bounds = np.cumsum([0] + [len(x) for x in found])
+        at = np.concatenate([*found, np.zeros(0, np.int64)])
+        if not len(at):
+            self.word, self.token, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+            return
+        self.word = np.frombuffer(_tokens.hashes, np.uint64)[at]
+        kind = np.frombuffer(_tokens.kinds, np.int8)[at]
+        number = kind == NUMBER
+        after = np.append(False, number[:-1])
+        after[self.bounds[:-1][self.bounds[:-1] < len(at)]] = False
+        kind = np.where((kind == UNIT) & ~after, 0, kind)
+        self.slot = kind > 0
+        self.token = np.where(self.slot, kind.astype(np.uint64), self.word)
+
+    def windows(self, which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Position and hash of the windows within a text: of plain words, or of tokens with enough literals."""
+        token = self.word if which == PLAIN else self.token
+        n = len(token) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        h = np.full(n, which, np.uint64)
+        for k in range(size):
+            h = (h ^ token[k : k + n]) * _PRIME
+            h ^= h >> np.uint64(29)
+        text = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        ok = text[size - 1 :] == text[:n]
+        if which == TEMPLATE:
+            literal = np.concatenate([[0], np.cumsum(~self.slot)])
+            ok &= literal[size:] - literal[:-size] >= min(LITERALS, size)
+        at = np.flatnonzero(ok)
+        return at, h[at]
+
+
+def _chunks(batches) -> Iterator[tuple[list, list]]:
+    """Keys and texts of some rows; a chunk ends where its texts are long enough."""
+    for b in batches:
+        keys, texts, size = [], [], 0
+        for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            keys.append(key)
+            texts.append(text.as_py())
+            size += len(texts[-1] or "")
+            if size > 6 * CHUNK:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+        yield keys, texts
 
 
-def windows(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Position and hash of the windows with enough literals; slots and values of the whole text."""
-    token, slot, value = canonical(text)
-    n = len(token) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), slot, value
-    h = np.zeros(n, np.uint64)
-    for k in range(size):
-        h = (h ^ token[k : k + n]) * _PRIME
-        h ^= h >> np.uint64(29)
-    literal = np.concatenate([[0], np.cumsum(~slot)])
-    at = np.flatnonzero(literal[size:] - literal[:-size] >= min(LITERALS, size))
-    return at, h[at], slot, value
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "kind", "size", "at", "total", "hash", "slots", "given"])
 
 
-def _emit(sizes: list[int], marks: np.ndarray | None):
-    """Map (id, text) to windows with their slots; with marks, only those whose mark is set."""
+def _rows(keys: list, c: Canonical, which: int, size: int, at: np.ndarray, h: np.ndarray, total: np.ndarray) -> Iterator[tuple]:
+    """Windows of one kind and size as rows; total holds the windows of each text."""
+    text = np.searchsorted(c.bounds, at, "right") - 1
+    for i, d, x in zip(at.tolist(), text.tolist(), h.view(np.int64).tolist(), strict=True):
+        s = np.flatnonzero(c.slot[i : i + size]) if which == TEMPLATE else np.zeros(0, np.int64)
+        yield keys[d], which, size, i - int(c.bounds[d]), int(total[d]), x, s.tolist(), c.word[i + s].view(np.int64).tolist()
+
+
+def _emit(sizes: list[tuple[int, int]], marks: np.ndarray):
+    """Map (id, text) to the windows, of the kinds and sizes given, whose mark is set."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = text.as_py()
-                for size in sizes:
-                    at, h, slot, value = windows(text, size)
-                    total = len(at)
-                    if marks is not None and total:
-                        hit = marked(marks, h)
-                        at, h = at[hit], h[hit]
-                    for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                        s = np.flatnonzero(slot[i : i + size])
-                        rows.append((key, size, i, total, x, s.tolist(), value[i + s].tolist()))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "size", "at", "total", "hash", "slots", "given"])
+        for keys, texts in _chunks(batches):
+            c, rows = Canonical(texts), []
+            none = np.zeros(len(keys), np.int64)
+            for which, size in sizes:
+                at, h = c.windows(which, size)
+                hit = marked(marks, h)
+                rows += _rows(keys, c, which, size, at[hit], h[hit], none)
+            yield _batch(rows)
 
     return run
 
 
-WINDOWS = "key long, size int, at long, total long, hash long, slots array<int>, given array<long>"
+def _wanted(batches) -> Iterator[pa.RecordBatch]:
+    """All windows of the items; one shorter than a window is a window of its own size."""
+    for keys, texts in _chunks(batches):
+        rows: list[tuple] = []
+        for key, text in zip(keys, texts, strict=True):
+            c = Canonical([text])
+            size = min(WINDOW, len(c.word))
+            for which in (TEMPLATE, PLAIN) if size >= LITERALS else ():
+                at, h = c.windows(which, size)
+                rows += _rows([key], c, which, size, at, h, np.array([len(at)]))
+        yield _batch(rows)
+
+
+WINDOWS = "key long, kind int, size int, at long, total long, hash long, slots array<int>, given array<long>"
+FOUND = "doc_id long, item_id long, n_windows long, item_windows long, first_token long"
+
+
+class Copy:
+    """What the windows of one kind on one diagonal say."""
+
+    def __init__(self, rows: list[dict]):
+        self.n, self.total = len({r["at"] for r in rows}), rows[0]["total"]
+        self.first = min(r["doc_at"] for r in rows)
+        self.last = max(r["doc_at"] for r in rows)
+        pairs = {p for r in rows for p in zip(r["given"], r["has"], strict=True)}
+        self.sound = len(pairs) == len({g for g, _ in pairs})
+
+    def enough(self, share: float, run: int) -> bool:
+        return self.n >= run or self.n >= share * self.total
+
+    def rank(self) -> tuple[int, int]:
+        return self.n, -self.first
+
+
+def _judge(rows: list[dict], share: float, run: int) -> Copy | None:
+    """The best copy that the windows of one document and one item show."""
+    good: list[Copy] = []
+    bad: list[Copy] = []
+    for kind, mine in groupby(sorted(rows, key=itemgetter("kind", "shift")), itemgetter("kind")):
+        for _, at_shift in groupby(mine, itemgetter("shift")):
+            c = Copy(list(at_shift))
+            if not c.enough(share, run):
+                continue
+            # Part of a template whose slots disagree isn't evidence by its words alone; the whole is.
+            if kind == PLAIN and c.n < c.total and any(b.first < c.last + WINDOW and c.first < b.last + WINDOW for b in bad):
+                continue
+            (good if c.sound else bad).append(c)
+    return max(good, key=Copy.rank, default=None)
+
+
+def _pairs(share: float, run: int):
+    """Rows come sorted by document and item; those of one pair are held."""
+
+    def judge(batches) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in b.to_pylist())
+        out = []
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 5)], [x.split()[0] for x in FOUND.split(", ")])
+
+        for (doc, item), mine in groupby(rows, itemgetter("doc_id", "item_id")):
+            best = _judge(list(mine), share, run)
+            if best:
+                out.append((doc, item, best.n, best.total, best.first))
+            if len(out) >= 10_000:
+                yield made()
+                out.clear()
+        yield made()
+
+    return judge
 
 
 def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.5, run: int = 6) -> DataFrame:
-    """(doc_id, item_id) pairs where a document holds a template of the item, slots consistent.
+    """(doc_id, item_id) pairs where a document holds a template of the item, slots consistent, or its words.
 
-    A pair counts if, on one diagonal, ``share`` of the item's windows or ``run`` of them match.
+    A pair counts if, on one diagonal, ``share`` of the item's windows or ``run`` of them match; windows of
+    canonical tokens and of plain words are counted apart.
     Input: doc_id, text and item_id, text; other columns are ignored.  Null and empty texts match nothing.
-    Items of fewer than ``WINDOW`` tokens are one window if they have ``LITERALS`` literals, else
-    they match nothing.  Repeated rows give one pair.  Where either table is empty there are no pairs.
+    Items of fewer than ``WINDOW`` tokens are one window; those of fewer than ``LITERALS`` match nothing.
+    Repeated rows give one pair.  Where either table is empty there are no pairs.
     Output: doc_id, item_id, n_windows, item_windows, first_token (where the best copy starts).
     """
     spark = docs.sparkSession
     work = Work(spark, "decontaminate")
     given = items.select(F.col("item_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    short = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{M}]+|\d+(?:[.,]\d+)*|[%$€£]"), 0))
-    item_rows = given.mapInArrow(_emit([WINDOW], None), WINDOWS)
-    few = given.where(short < WINDOW).mapInArrow(_whole, WINDOWS)
-    wanted = work.put(item_rows.unionByName(few), "windows")
-    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # at most WINDOW numbers
+    wanted = work.put(given.mapInArrow(_wanted, WINDOWS), "windows")
+    sizes = sorted((r[0], r[1]) for r in wanted.select("kind", "size").distinct().collect())  # at most 2 * WINDOW
     # A bitmap of fixed size says which windows are worth sending to the join.
     marks = marks_of(wanted, "hash")
     mine = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    met = work.put(mine.mapInArrow(_emit(sizes, marks), WINDOWS).select(F.col("key").alias("doc_id"), "size", F.col("at").alias("doc_at"), "hash", F.col("given").alias("has")), "met")
-    pairs = met.join(wanted.select(F.col("key").alias("item_id"), "size", "at", "total", "hash", "given"), ["size", "hash"])
-    diagonal = pairs.groupBy("doc_id", "item_id", "size", (F.col("doc_at") - F.col("at")).alias("shift")).agg(
-        F.count_distinct("at").alias("n_windows"), F.max("total").alias("item_windows"), F.min("doc_at").alias("first_token"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("given", "has")))).alias("pairs"),
-    )
-    sound = F.size("pairs") == F.size(F.array_distinct("pairs.given"))
-    enough = (F.col("n_windows") >= run) | (F.col("n_windows") >= share * F.col("item_windows"))
-    best = F.max_by(F.struct("n_windows", "item_windows", "first_token"), F.struct("n_windows", -F.col("first_token"))).alias("b")
-    return diagonal.where(sound & enough).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
-
-
-def _whole(batches) -> Iterator[pa.RecordBatch]:
-    """Items shorter than a window, each as one window of its own size."""
-    for b in batches:
-        for key, text in zip(b.column(0), b.column(1), strict=True):
-            n = len(canonical(text.as_py())[0])
-            if LITERALS <= n < WINDOW:
-                yield from _emit([n], None)([pa.RecordBatch.from_arrays([pa.array([key.as_py()], pa.int64()), pa.array([text.as_py()], pa.string())], ["key", "text"])])
+    met = work.put(mine.mapInArrow(_emit(sizes, marks), WINDOWS).select(F.col("key").alias("doc_id"), "kind", "size", F.col("at").alias("doc_at"), "hash", F.col("given").alias("has")), "met")
+    pairs = met.join(wanted.select(F.col("key").alias("item_id"), "kind", "size", "at", "total", "hash", "slots", "given"), ["kind", "size", "hash"])
+    pairs = pairs.select("doc_id", "item_id", "kind", (F.col("doc_at") - F.col("at")).alias("shift"), "doc_at", "at", "total", "slots", "given", "has")
+    return pairs.repartition("doc_id", "item_id").sortWithinPartitions("doc_id", "item_id").mapInArrow(_pairs(share, run), FOUND)

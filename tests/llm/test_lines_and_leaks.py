@@ -106,6 +106,22 @@ def test_leaks_of_given_tables(spark, sf_dir):
     assert want and got == want
 
 
+def test_copies_in_any_case_are_caught(spark):
+    prose = "Eaea ndorea as erthndly edst threeain for heed thheha thatnd the thnt estion ntes a onenble lyndre thintion reed"
+    docs = [(1, "before " + prose.upper() + " after"), (2, prose.title()), (3, "X " + ITEM.lower()), (4, "all of " + ITEM.upper())]
+    assert pairs(spark, docs, [(1, prose), (2, ITEM)]) == {(1, 1), (2, 1), (3, 2), (4, 2)}
+
+
+def test_leaks_of_given_tables_in_any_case(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    passages = {r.item_id: " ".join(r.text.casefold().split()) for r in items.collect()}
+    loud = items.selectExpr("item_id + 1000000 AS doc_id", "upper(text) AS text").unionByName(items.selectExpr("item_id + 2000000 AS doc_id", "lower(text) AS text"))
+    both = docs.select("doc_id", "text").unionByName(loud)
+    texts = {r.doc_id: " ".join((r.text or "").casefold().split()) for r in both.collect()}
+    want = {(d, i) for d, x in texts.items() for i, p in passages.items() if p in x}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(both, items).collect()} == want
+
+
 def test_pipeline(spark, sf_dir):
     """Every stage on its own input; what each drops is what direct computation says."""
     from .test_text_ops import brute_components, brute_fingerprint, brute_quality
