@@ -5,8 +5,8 @@ one turn into placeholders, all others are compared in lower case.  Windows of `
 both sides meet by hash.  Matches of a document and an item on one diagonal are a copy of the
 template; it counts if every value in the item's slots stands for one value in the document, so
 that a question with new names and numbers is caught and chance agreement isn't.  Windows of the
-plain words in one case meet as well, so that a copy in any case is caught: what is a placeholder
-hangs on the case of a word.
+plain words in one case meet as well, so that a copy in any case is caught (what is a placeholder
+hangs on the case of a word), and a copy of an item whose windows are short of literals.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .marks import marked, marks_of
 from .quality import STOP_WORDS
 from .work import Work
 
-WINDOW, LITERALS = 8, 4
+WINDOW, LITERALS, LEAST = 8, 4, 3
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[%$€£]")
 UNITS = frozenset("% $ € £ mm cm m km mg g kg t ml l s ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres kilometer kilometers mile miles foot feet inch inches pound pounds ounce ounces gram grams kilogram kilograms liter liters litre litres dollar dollars euro euros cent cents percent degree degrees kmh mph".split())
 _COMMON = frozenset(STOP_WORDS) | frozenset("i if so we he she they you his her has have had do does did can could would will how what when where who why each every then than there these those were been more most many much".split())
@@ -160,7 +160,7 @@ def _wanted(batches) -> Iterator[pa.RecordBatch]:
         for key, text in zip(keys, texts, strict=True):
             c = Canonical([text])
             size = min(WINDOW, len(c.word))
-            for which in (TEMPLATE, PLAIN) if size >= LITERALS else ():
+            for which in (TEMPLATE,) * (size >= LITERALS) + (PLAIN,) * (size >= LEAST):
                 at, h = c.windows(which, size)
                 rows += _rows([key], c, which, size, at, h, np.array([len(at)]))
         yield _batch(rows)
@@ -231,7 +231,8 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.5, run: int
     A pair counts if, on one diagonal, ``share`` of the item's windows or ``run`` of them match; windows of
     canonical tokens and of plain words are counted apart.
     Input: doc_id, text and item_id, text; other columns are ignored.  Null and empty texts match nothing.
-    Items of fewer than ``WINDOW`` tokens are one window; those of fewer than ``LITERALS`` match nothing.
+    Items of fewer than ``WINDOW`` tokens are one window; as a template only with ``LITERALS`` literals, as words
+    from ``LEAST`` tokens on: one or two words are no item and match nothing.
     Repeated rows give one pair.  Where either table is empty there are no pairs.
     Output: doc_id, item_id, n_windows, item_windows, first_token (where the best copy starts).
     """

@@ -112,6 +112,12 @@ def test_copies_in_any_case_are_caught(spark):
     assert pairs(spark, docs, [(1, prose), (2, ITEM)]) == {(1, 1), (2, 1), (3, 2), (4, 2)}
 
 
+def test_items_of_few_literals_are_found_word_for_word(spark):
+    items = ["What is 12 times 7?", "12 14 16 18 20 22 24 26 28 30 32 34", "Anna Berta Carla Dora Emma Frida Greta Hanna Ida Jana", "12 + 7 = 19", "COMPUTE THE SUM OF ALL ODD PRIMES BELOW TWENTY NOW"]
+    docs = [(i, f"before it {x} after") for i, x in enumerate(items)] + [(9, "What is 13 times 8? 12 15 16 19 20 23")]
+    assert pairs(spark, docs, list(enumerate(items))) == {(i, i) for i in range(len(items))}
+
+
 def test_leaks_of_given_tables_in_any_case(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     passages = {r.item_id: " ".join(r.text.casefold().split()) for r in items.collect()}
