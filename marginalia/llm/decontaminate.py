@@ -3,8 +3,8 @@
 Words become typed tokens: a number, a unit after a number, and a capitalised word that isn't a common
 one turn into placeholders, all others are compared in lower case.  Windows of ``WINDOW`` tokens of
 both sides meet by hash.  Matches of a document and an item on one diagonal are a copy of the
-template; it counts if every value in the item's slots stands for one value in the document, so
-that a question with new names and numbers is caught and chance agreement isn't.  Windows of the
+template; it counts if the values in the item's slots stand for one value each in the document, a
+misspelt or changed place aside, so that a question with new names and numbers is caught and chance agreement isn't.  Windows of the
 plain words in one case meet as well, so that a copy in any case is caught (what is a placeholder
 hangs on the case of a word), and a copy of an item whose windows are short of literals.
 """
@@ -38,6 +38,8 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 TEMPLATE, PLAIN = 0, 1
 #: Tokens that are put together before they are hashed.
 CHUNK = 200_000
+#: One slot in so many may hold another value than the item's repeated value has elsewhere.
+ODD = 8
 
 
 def _hash(word: str) -> int:
@@ -171,17 +173,29 @@ FOUND = "doc_id long, item_id long, n_windows long, item_windows long, first_tok
 
 
 class Copy:
-    """What the windows of one kind on one diagonal say."""
+    """What the windows of one kind on one diagonal say.
+
+    A value of the item stands for what it most often is in the document; windows that say otherwise don't
+    count.  Where more than one place, and more than one in ``ODD``, says otherwise, it's chance agreement.
+    """
 
     def __init__(self, rows: list[dict]):
-        self.n, self.total = len({r["at"] for r in rows}), rows[0]["total"]
-        self.first = min(r["doc_at"] for r in rows)
-        self.last = max(r["doc_at"] for r in rows)
-        pairs = {p for r in rows for p in zip(r["given"], r["has"], strict=True)}
-        self.sound = len(pairs) == len({g for g, _ in pairs})
+        said: dict[int, dict[int, set[int]]] = {}  # where in the item a value stands for which
+        for r in rows:
+            for slot, given, has in zip(r["slots"], r["given"], r["has"], strict=True):
+                said.setdefault(given, {}).setdefault(has, set()).add(r["at"] + slot)
+        means = {given: max(x, key=lambda h: (len(x[h]), h == given, h)) for given, x in said.items()}
+        agree = [r for r in rows if all(means[g] == h for g, h in zip(r["given"], r["has"], strict=True))]
+        self.all, self.n, self.total = len({r["at"] for r in rows}), len({r["at"] for r in agree}), rows[0]["total"]
+        self.first = min(r["doc_at"] for r in agree or rows)
+        self.last = max(r["doc_at"] for r in agree or rows)
+        places = [set().union(*x.values()) for x in said.values()]
+        odd = sum(len(at - said[given][means[given]]) for given, at in zip(said, places, strict=True))
+        self.sound = odd <= max(1, sum(map(len, places)) // ODD)
 
     def enough(self, share: float, run: int) -> bool:
-        return self.n >= run or self.n >= share * self.total
+        n = self.n if self.sound else self.all
+        return n >= run or n >= share * self.total
 
     def rank(self) -> tuple[int, int]:
         return self.n, -self.first
@@ -228,7 +242,8 @@ def _pairs(share: float, run: int):
 def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.5, run: int = 6) -> DataFrame:
     """(doc_id, item_id) pairs where a document holds a template of the item, slots consistent, or its words.
 
-    A pair counts if, on one diagonal, ``share`` of the item's windows or ``run`` of them match; windows of
+    A pair counts if, on one diagonal, ``share`` of the item's windows or ``run`` of them match with the values
+    that most of the copy has; windows of
     canonical tokens and of plain words are counted apart.
     Input: doc_id, text and item_id, text; other columns are ignored.  Null and empty texts match nothing.
     Items of fewer than ``WINDOW`` tokens are one window; as a template only with ``LITERALS`` literals, as words

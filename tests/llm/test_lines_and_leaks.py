@@ -118,6 +118,13 @@ def test_items_of_few_literals_are_found_word_for_word(spark):
     assert pairs(spark, docs, list(enumerate(items))) == {(i, i) for i in range(len(items))}
 
 
+def test_one_odd_slot_does_not_hide_a_copy(spark):
+    item = "At noon Paris had 3 old bridges over its river, and by night Paris lit them all with lamps that burn oil, so people walk from far to see Paris glow."
+    renamed = item.replace("Paris", "Rome")
+    docs = [(1, item.replace("Paris had", "Pariss had")), (2, renamed.replace("see Rome", "see Romme")), (3, ITEM.replace("does Alice", "does Alicia"))]
+    assert pairs(spark, docs, [(1, item), (2, ITEM)]) == {(1, 1), (2, 1), (3, 2)}
+
+
 def test_leaks_of_given_tables_in_any_case(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     passages = {r.item_id: " ".join(r.text.casefold().split()) for r in items.collect()}
