@@ -125,6 +125,16 @@ def test_one_odd_slot_does_not_hide_a_copy(spark):
     assert pairs(spark, docs, [(1, item), (2, ITEM)]) == {(1, 1), (2, 1), (3, 2)}
 
 
+def test_copies_of_another_length_are_caught(spark):
+    prose = "Eaea ndorea as erthndly edst threeain for heed thheha thatnd the thnt estion ntes a onenble lyndre thintion"
+    price = "If Anna pays $5 to Otto for each old lamp then what is left of $90 when Otto sells her 7"
+    docs = [
+        (1, prose.replace("heed", "heed zzword")), (2, prose.upper().replace("HEED", "HEED ZZWORD")), (3, prose.replace("thheha ", "") + " end"),
+        (4, ITEM.replace("Alice", "Mary Ann").replace("Bob", "Van Dyke")), (5, price.replace("$", "€").replace("Anna", "Eva").replace("Otto", "Jan Smit")),
+    ]
+    assert pairs(spark, docs, [(1, prose), (2, ITEM), (3, price)]) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3)}
+
+
 def test_leaks_of_given_tables_in_any_case(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     passages = {r.item_id: " ".join(r.text.casefold().split()) for r in items.collect()}
