@@ -145,6 +145,32 @@ def test_leaks_of_given_tables_in_any_case(spark, sf_dir):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(both, items).collect()} == want
 
 
+def test_near_copies_stage_links_similar_shingles(spark, sf_dir):
+    r = random.Random(11)
+    texts = {}
+    for i in range(0, 80, 4):
+        words = [f"w{r.randrange(500)}" for _ in range(r.choice([3, 30, 120, 300]))]
+        for k in range(4):
+            texts[i + k] = " ".join(words)
+            for _ in range(r.choice([1, 2, 4])):
+                words[r.randrange(len(words))] = f"new{r.randrange(3000)}"
+    texts |= {90: None, 91: " ", 92: texts[3].upper()}
+
+    def brute(x):
+        w = (x or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, up = {i: brute(x) for i, x in texts.items()}, {i: i for i in texts}
+    for _ in texts:
+        for a in texts:
+            for b in texts:
+                if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    up[a] = up[b] = min(up[a], up[b])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, docs, sf_dir).collect()}
+    assert kept == {i for i, c in up.items() if i == c} and 20 < len(kept) < len(texts)
+
+
 def test_pipeline(spark, sf_dir):
     """Every stage on its own input; what each drops is what direct computation says."""
     from .test_text_ops import brute_components, brute_fingerprint, brute_quality
