@@ -41,7 +41,7 @@ def base32(hex_digest: Column) -> Column:
 
 def _record(kind, page_id, url, digest, refers_to, stamp: str):
     """Head of a record with an id made from page_id; the payload, empty for a revisit, follows it."""
-    uri = lambda x: F.concat(F.lit("<urn:page:"), x.cast("string"), F.lit(">"))
+    uri = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), F.lit("null")), F.lit(">"))
     clean = F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]+", " ")
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), uri(page_id), F.lit("\r\nWARC-Target-URI: "), clean,
@@ -75,6 +75,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = 8 <
 
     Null html: an empty payload.  Of equal payloads of at least ``min_bytes`` bytes, the smallest page_id is the
     response and the others revisit it; rows that repeat the smallest page_id are responses too.
+    A null page_id: a response of its own with the id ``<urn:page:null>``, read back as null.
     An empty table gives no records.  A revisit says its full payload's length in a header of its own.
     """
     total, n = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")) + 500), F.count("*")).first()
@@ -94,7 +95,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     if not m:
         raise ValueError("no version line")
     stop = data.find(END, m.end())
-    if stop < 0 or stop - m.end() > 1 << 16:
+    if stop < 0:
         raise ValueError("no end of headers")
     headers = {}
     for line in data[m.end() : stop].split(b"\r\n"):
@@ -184,7 +185,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """What the records say of each page; the digest and length of responses are those of the bytes read."""
     records = read(spark, path).where("kind = 'record'")
-    ident = lambda c: F.regexp_extract(F.col("headers")[c], r"<urn:page:(-?\d+)>", 1).cast("long")
+    ident = lambda c: F.nullif(F.regexp_extract(F.col("headers")[c], r"<urn:page:(-?\d+)>", 1), F.lit("")).cast("long")
     own = F.col("headers")["warc-type"] == "response"
     return records.select(
         ident("warc-record-id").alias("page_id"),

@@ -168,3 +168,11 @@ def test_warc_salvage(pack):
     b = a + len(broken) + len(parts[3])
     assert gaps == [(0, 4), (a, a + len(broken)), (b, b + len(parts[4]) - 9)]
     assert sum(f[2] - f[1] for f in found) == len(data)
+
+
+def test_warc_keeps_long_urls_and_pages_without_id(spark, tmp_path):
+    rows = [(1, "data:," + "x" * 200_000, "<p>one"), (None, "http://a/", "<p>two"), (None, None, "<p>one"), (2, "http://b/", "<p>one")]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/out")
+    assert warc.read(spark, f"{tmp_path}/out").where("kind = 'gap'").count() == 0
+    got = [(r.page_id, r.record_type, r.payload_bytes, r.refers_to) for r in warc.read_pages(spark, f"{tmp_path}/out").collect()]
+    assert sorted(got, key=str) == sorted([(1, "response", 6, None), (None, "response", 6, None), (None, "response", 6, None), (2, "revisit", 6, 1)], key=str)
