@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .tokens import default_vocabulary, encoder
-from .work import Work, parts_for, utf8
+from .work import Work, parts_for
 
 LIMIT, STEP = 20, 64
 
@@ -115,95 +115,119 @@ def decode_bits(bits: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.nd
     return out.T.ravel()[:n]
 
 
-_BLOCK = "shard int, block int, first long, doc_ids binary, n_ids binary, checkpoints binary, bits binary, ids_total long"
+_BLOCK = "shard int, block int, first long, n_nulls int, doc_ids binary, n_ids binary, checkpoints binary, bits binary, ids_total long"
+#: Shards are at most so many, so one number a shard is always small.
+MOST_SHARDS = 100_000
+TOKENS = "doc_id long, tie long, nth long, n long, ids binary, id int, met long"
+
+
+def _batch(schema: str, cols: list) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[t]) for c, (_, t) in zip(cols, names, strict=True)], [n for n, _ in names])
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of consecutive pieces of an array."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _joined(column: pa.Array, width: str) -> np.ndarray:
+    """The bytes of all rows of a binary column one after another, as numbers."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(width)
+
+
+def _tokenise(vocabulary: str, end_id: int):
+    """A row per document with its ids, and at the end a row per id with the times it was met."""
+
+    def run(batches):
+        enc, nth = encoder(vocabulary), 0
+        wide = len(enc.size) > 1 << 16
+        total = np.zeros(max(len(enc.size), end_id + 1), np.int64)
+        for b in batches:
+            for i, j, ids, n in enc.encode(b.column("text"), end_id):
+                total += np.bincount(ids, minlength=len(total))
+                none = pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.int64())
+                raw = ids.astype("<u4" if wide else "<u2")
+                yield _batch(TOKENS, [b.column("doc_id").slice(i, j - i), b.column("tie").slice(i, j - i), nth + np.arange(j - i), n, _binary(raw, n * raw.itemsize), *none])
+                nth += j - i
+        used = np.flatnonzero(total)
+        none = pa.nulls(len(used), pa.int64())
+        yield _batch(TOKENS, [none, none, none, none, pa.nulls(len(used), pa.binary()), used.astype(np.int32), total[used]])
+
+    return run
+
+
+def _pack(lengths: np.ndarray, codes: np.ndarray, width: str, block_ids: int):
+    """Rows of one shard in order to blocks of about ``block_ids`` ids; a document is in one block."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        shard, k, first, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
+
+        def block():
+            ids = np.concatenate([x for x, _, _ in held])
+            n = np.concatenate([x for _, x, _ in held])
+            docs = pa.concat_arrays([x for _, _, x in held])
+            bits, marks = encode_bits(ids, lengths, codes)
+            raw = docs.fill_null(0).to_numpy().astype("<i8").tobytes()
+            return _batch(_BLOCK, [[x] for x in (shard, k, first, docs.null_count, raw, n.astype("<u8").tobytes(), marks.astype("<u4").tobytes(), bits, len(ids))])
+
+        for b in batches:
+            n = b.column("n").to_numpy()
+            ends, ids, i = np.cumsum(n), _joined(b.column("ids"), width), 0
+            while i < len(n):
+                before = int(ends[i] - n[i])
+                j = min(len(n), int(np.searchsorted(ends, before + block_ids - size)) + 1)
+                held.append((ids[before : int(ends[j - 1])], n[i:j], b.column("doc_id").slice(i, j - i)))
+                size += int(ends[j - 1]) - before
+                i = j
+                if size >= block_ids:
+                    yield block()
+                    first, k, held, size = first + size, k + 1, [], 0
+        if held:
+            yield block()
+
+    return run
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2, shard_bytes: int = 8 << 20, block_ids: int = 1 << 19) -> None:
     """Write the ids of all documents, each followed by ``end_id``, in ascending doc_id order.
 
-    Input: doc_id, text; other columns are ignored.  Null text: empty, so the end id alone.  Rows with
-    equal doc_id follow each other, ordered by text.  An empty table gives files with no block.
-    Shards are ranges of doc_id, so their number grows with the bytes and none holds more than
-    its range; a row is never split.
+    Input: doc_id, text; other columns are ignored.  Null text: empty, so the end id alone.  Rows without doc_id
+    come first.  Rows with equal doc_id follow each other, ordered by a 64-bit hash of the text, equal texts being the
+    same ids.  An empty table gives files with no block.  Shards are ranges of rows in that order: their number
+    grows with the bytes up to ``MOST_SHARDS``, then their size does; a row is never split.
     """
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
     work = Work(spark, "token-ids")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shards = parts_for(rows.agg(F.sum(F.octet_length(utf8("text")))).first()[0], shard_bytes)
-    bounds = rows.select(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else []
-    bounds = sorted({*(bounds or [])})
-    shard = F.size(F.filter(F.lit(bounds), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-
-    def tokenise(batches):
-        enc, end = encoder(vocabulary), int(end_id).to_bytes(4, "little")
-        for b in batches:
-            ids, blobs = b.column("doc_id"), []
-            counts: list[int] = []
-            for blob in enc.blobs(x.as_py() for x in b.column("text")):
-                raw = np.frombuffer(blob + end, "<u4")
-                blobs.append(zlib.compress(raw.astype("<u2" if enc.tok.get_vocab_size() <= 1 << 16 else "<u4").tobytes(), 1))
-                counts.append(len(raw))
-            texts = pa.array([zlib.crc32(x.as_py().encode()) for x in b.column("text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, b.column("shard"), texts, pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "shard", "tie", "n", "ids"])
-
-    width = "<u2" if encoder(vocabulary).tok.get_vocab_size() <= 1 << 16 else "<u4"
-    tokens = work.put(rows.withColumn("shard", shard.cast("int")).mapInArrow(tokenise, "doc_id long, shard int, tie long, n long, ids binary"), "tokens")
-
-    def count(batches):
-        total = np.zeros(0, np.int64)
-        for b in batches:
-            for blob in b.column("ids"):
-                got = np.bincount(np.frombuffer(zlib.decompress(blob.as_py()), width))
-                if len(got) > len(total):
-                    got, total = total, got
-                total[: len(got)] += got
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
-
-    found = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row per vocabulary entry at most
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    shards = min(MOST_SHARDS, parts_for(rows.agg(F.sum(F.octet_length("text"))).first()[0], shard_bytes))
+    width = "<u4" if len(encoder(vocabulary).size) > 1 << 16 else "<u2"
+    both = work.put(rows.mapInArrow(_tokenise(vocabulary, end_id), TOKENS), "tokens")
+    found = both.where("id is not null").groupBy("id").agg(F.sum("met").alias("n")).collect()  # one row per vocabulary entry at most
     counts = np.zeros(max((r["id"] for r in found), default=0) + 1, np.int64)
     for r in found:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
-    codes = canonical_codes(lengths)
     spark.createDataFrame([(bytearray(lengths.tobytes()), LIMIT, STEP)], "lengths binary, max_bits int, step int").write.parquet(f"{path}/codes")
-
-    def pack_shard(batches):
-        def block(shard, k, doc_ids, ns, parts, first):
-            ids = np.concatenate(parts)
-            bits, marks = encode_bits(ids, lengths, codes)
-            return (shard, k, first, np.array(doc_ids, "<i8").tobytes(), np.array(ns, "<u8").tobytes(), marks.astype("<u4").tobytes(), bits, len(ids))
-
-        def out(row):
-            types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], [x.split()[0] for x in _BLOCK.split(", ")])
-
-        now, k, first, doc_ids, ns, parts, size = None, 0, 0, [], [], [], 0
-        for b in batches:
-            for doc, shard, blob in zip(*(b.column(c) for c in ("doc_id", "shard", "ids")), strict=True):
-                shard = shard.as_py()
-                if doc_ids and (shard != now or size >= block_ids):
-                    yield out(block(now, k, doc_ids, ns, parts, first))
-                    first, k, doc_ids, ns, parts, size = first + size, k + 1, [], [], [], 0
-                if shard != now:
-                    now, k, first = shard, 0, 0
-                ids = np.frombuffer(zlib.decompress(blob.as_py()), width)
-                doc_ids.append(doc.as_py())
-                ns.append(len(ids))
-                parts.append(ids)
-                size += len(ids)
-        if doc_ids:
-            yield out(block(now, k, doc_ids, ns, parts, first))
-
-    ordered = tokens.repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", "doc_id", "tie")
-    ordered.select("doc_id", "shard", "ids").mapInArrow(pack_shard, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
+    order = ["doc_id", "tie", "nth"]
+    ordered = both.where("id is null").select(*order, "n", "ids").repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    blocks = ordered.mapInArrow(_pack(lengths, canonical_codes(lengths), width, block_ids), _BLOCK)
+    blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     work.drop("tokens")
 
 
 def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """Documents of files that ``write`` made: doc_id, start, n_tokens, and the ids or their crc32.
 
-    ``start`` counts the ids of all documents before; it comes from one total per shard.
+    ``start`` counts the ids of all documents before; it comes from one total per shard, of which there are
+    at most ``MOST_SHARDS``.
     """
     blocks = spark.read.parquet(f"{path}/blocks")
     head = spark.read.parquet(f"{path}/codes").first()
@@ -212,19 +236,20 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     bases = totals.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("base"))
 
     def decode(batches):
-        table = None
+        table = decode_table(lengths, limit)
         for b in batches:
-            for shard, base, first, docs, ns, marks, bits, total in zip(*(b.column(c).to_pylist() for c in ("shard", "base", "first", "doc_ids", "n_ids", "checkpoints", "bits", "ids_total")), strict=True):
-                table = table or decode_table(lengths, limit)
-                ids = decode_bits(bits, np.frombuffer(marks, "<u4"), total, table, limit, step).astype("<u4")
-                n = np.frombuffer(ns, "<u8").astype(np.int64)
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                ids = decode_bits(r["bits"], np.frombuffer(r["checkpoints"], "<u4"), r["ids_total"], table, limit, step).astype("<u4")
+                n = np.frombuffer(r["n_ids"], "<u8").astype(np.int64)
                 ends = np.cumsum(n)
                 starts = ends - n
+                docs = pa.array(np.frombuffer(r["doc_ids"], "<i8"), mask=np.arange(len(n)) < r["n_nulls"])
                 if digest:
-                    last, kind = pa.array([zlib.crc32(ids[a:z].tobytes()) for a, z in zip(starts, ends, strict=True)], pa.int64()), "ids_crc32"
+                    last, kind = pa.array([zlib.crc32(ids[a:z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)], pa.int64()), "ids_crc32"
                 else:
-                    last, kind = pa.array([ids[a:z].tolist() for a, z in zip(starts, ends, strict=True)], pa.list_(pa.int64())), "ids"
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, "<i8")), pa.array(starts + base + first), pa.array(n), last], ["doc_id", "start", "n_tokens", kind])
+                    last, kind = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int64))), "ids"
+                yield pa.RecordBatch.from_arrays([docs, pa.array(starts + r["base"] + r["first"]), pa.array(n), last], ["doc_id", "start", "n_tokens", kind])
 
-    kept = blocks.select("shard", "first", "doc_ids", "n_ids", "checkpoints", "bits", "ids_total")
+    kept = blocks.select("shard", "first", "n_nulls", "doc_ids", "n_ids", "checkpoints", "bits", "ids_total")
     return kept.join(F.broadcast(bases), "shard").mapInArrow(decode, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids array<long>'}")

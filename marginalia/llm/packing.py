@@ -91,18 +91,20 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def _cut(vocabulary: str, end_id: int, seq_len: int):
     def run(batches):
-        enc, end = encoder(vocabulary), int(end_id).to_bytes(4, "little")
-        step = 4 * seq_len
+        enc = encoder(vocabulary)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, blob in zip(batch.column(0).to_pylist(), enc.blobs(x.as_py() for x in batch.column(1)), strict=True):
-                blob += end
-                total = len(blob) // 4
-                for at in range(0, len(blob), step):
-                    part = blob[at : at + step]
-                    rows.append((doc, at // 4, len(part) // 4, zlib.crc32(part), total))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            docs = batch.column(0)
+            for i, j, ids, n in enc.encode(batch.column(1), end_id):
+                pieces = -(-n // seq_len)
+                first = np.cumsum(pieces) - pieces
+                row = np.repeat(np.arange(j - i), pieces)
+                nth = np.arange(len(row)) - first[row]
+                base, data = (np.cumsum(n) - n)[row], ids.astype("<u4", copy=False)
+                a = base + nth * seq_len
+                z = np.minimum(a + seq_len, base + n[row])
+                crc = [zlib.crc32(data[x:y]) for x, y in zip(a.tolist(), z.tolist(), strict=True)]
+                cols = [docs.slice(i, j - i).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (nth * seq_len, z - a, crc, n[row]))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 

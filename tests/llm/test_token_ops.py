@@ -15,9 +15,7 @@ from marginalia.llm.work import Work
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(default_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(default_vocabulary())
 
 
 def ids_of(text, end):
@@ -147,12 +145,61 @@ def test_sharding_equal_rows_and_hot_text(spark, nothing):
     assert len(rest) == 7 and max(rest) - min(rest) <= 400
 
 
-def test_encoder_is_the_library():
+def encoded(enc, texts):
+    import pyarrow as pa
+
+    out = []
+    for i, j, ids, n in enc.encode(pa.array(texts, pa.string()).slice(1), None):
+        assert len(n) == j - i
+        out += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    return out
+
+
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoder_is_the_library(special_as_text):
+    import random
+
+    from marginalia.llm.tokens import Encoder
+
+    r, enc = random.Random(4), Encoder(default_vocabulary(), special_as_text, slots=1 << 12)
+    signs = ["a", "the", "Thing", "\u00e9t\u00e9", "\u0178", " ", " ", " ", "  ", "\n", "\n\n", "\t", ".", ",", "'s", "'", "'ll", "'l", "'re", "'S", "12", "\r\n", "#", "<|endoftext|>", "averyverylongwordthatgoeson", "w%d"]
+    some = ["".join(r.choice(signs).replace("%d", str(r.randrange(5000))) for _ in range(r.randint(0, 30))) for _ in range(4000)]
+    some += ["\u65e5\u672c x", " lead", "trail ", "\n", " ", "", None, "a\u00d7b", "a\u00f7", "x\u0000y", "\u0180", "a \n'd", "''s", " 's", "\x7f"]
+    plain = Tokenizer_with(special_as_text)
+    want = [plain.encode(x or "", add_special_tokens=False).ids for x in some]
+    assert encoded(enc, ["sliced off", *some]) == want
+    assert encoded(enc, ["sliced off", *some[::-1]]) == want[::-1]
+
+
+def Tokenizer_with(special_as_text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(default_vocabulary())
+    t.encode_special_tokens = special_as_text
+    return t
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
     import random
 
-    from marginalia.llm.tokens import encoder
+    from marginalia.llm import tokens
+
+    monkeypatch.setattr(tokens, "EACH", 200)
+    r, enc = random.Random(5), tokens.Encoder(default_vocabulary())
+    some = [" ".join(r.choice(["one", "two's", "12 ,", "\n", "\u00e9"]) for _ in range(k)) for k in (1000, 3, 0, 2000)] + ["7" * 3000, "a\n" * 900, "\u65e5 " * 500]
+    assert encoded(enc, ["", *some]) == [tokenizer().encode(x, add_special_tokens=False).ids for x in some]
+
 
-    r, enc = random.Random(4), encoder(default_vocabulary())
-    signs = ["a", "the", "Thing", "été", " ", " ", " ", "  ", "\n", "\n\n", "\t", ".", ",", "'s", "'", "12", "\r\n", "#", "<|endoftext|>"]
-    some = ["".join(r.choice(signs) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["日本 x", " lead", "trail ", "\n", " "]
-    assert list(enc.blobs([*some, None])) == [np.array(ids_of(x, 0)[:-1], "<u4").tobytes() for x in some] + [b""]
+def test_token_files_order_nulls_and_ties(spark):
+    path = Work(spark, "t").path("x")
+    rows = [(None, "none a"), (3, "c c"), (3, "a"), (3, "a"), (-1, None), (None, ""), (2, "<|endoftext|>")]
+    huffman.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, shard_bytes=4)
+    got = huffman.read(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -1, 2, 3, 3, 3]
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.ids) for r in got) == sorted((d is None, d or 0, ids_of(x, 2)) for d, x in rows)
+    same = [r.ids for r in got if r.doc_id == 3]
+    assert same in ([ids_of("a", 2)] * 2 + [ids_of("c c", 2)], [ids_of("c c", 2)] + [ids_of("a", 2)] * 2)
+    at = 0
+    for r in got:
+        assert (r.start, r.n_tokens) == (at, len(r.ids))
+        at += r.n_tokens
