@@ -42,8 +42,10 @@ def made_lines(seed):
     return out
 
 
-@pytest.mark.parametrize(("seed", "held", "most"), [(1, 64, 3), (2, 2, 3), (3, 64, 1)])
-def test_lines(spark, seed, held, most):
+@pytest.mark.parametrize(("seed", "held", "most", "many"), [(1, 64, 3, 4096), (2, 2, 3, 4096), (3, 64, 1, 2), (4, 2, 1, 1), (5, 3, 1, 4096)])
+def test_lines(spark, monkeypatch, seed, held, most, many):
+    monkeypatch.setattr(lines, "MANY", many)
+    monkeypatch.setattr(lines, "BUCKET_BYTES", 20_000)
     texts = made_lines(seed)
     df = spark.createDataFrame([(i, x, 3, "k") for i, x in texts.items()], "doc_id long, text string, removed int, key string").repartition(5)
     want = brute_lines(texts)
@@ -54,15 +56,38 @@ def test_lines(spark, seed, held, most):
         assert r.kept_text == "\n".join(x for k, x in enumerate(texts[r.doc_id].split("\n")) if k not in want[r.doc_id])
 
 
-def test_stream_compares_first_lines_and_reports_the_rest():
+def packed(word, keys, n=10):
+    """A row of postings of one word, of sets that agree in all that is compared."""
+    import zlib
+
+    import numpy as np
+
+    k = len(keys)
+    wide = [np.full(k, word, np.uint64), np.array(keys, np.uint64), np.zeros(k, np.uint64), np.zeros(k, np.uint64)]
+    rest = [np.array(keys, np.int64), *(np.full(k, x, np.int32) for x in (0, 0, n, 0))]
+    return k.to_bytes(4, "little") + b"".join(x.tobytes() for x in wide) + zlib.compress(b"".join(x.tobytes() for x in rest))
+
+
+def single(key, n=10):
     import numpy as np
+
+    return np.array([(key, 0, 0, n, 0)], lines.ALONE).tobytes()
+
+
+@pytest.mark.parametrize("alone", [True, False])
+@pytest.mark.parametrize("small", [8, 100])
+def test_matches_compare_first_lines_and_report_the_rest(alone, small):
     import pyarrow as pa
 
-    n, kinds = 60, ["word", "key", "sign", "more", "n", "pos"]
-    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(b - a, 7), np.arange(a, b), np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), np.full(b - a, 10), np.zeros(b - a, np.int64))], kinds)
+    n = 60
     for cuts in ([0, 60], [0, 5, 30, 60], [0, 1, 2, 59, 60]):
         for most in (3, 100):
-            got = pa.Table.from_batches(list(lines._stream(24, most)([batch(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))).to_pylist()
+            rows = [{"bucket": 1, "word": None, "data": packed(7, range(a, b))} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            if alone:
+                rows = [{"bucket": 1, "word": 7, "data": single(k)} for k in range(n)]
+            rows.append({"bucket": 2, "word": None, "data": packed(8, [500])})
+            batch = pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("word", pa.int64()), ("data", pa.binary())]))
+            got = pa.Table.from_batches(list(lines._matched(24, most, small)([batch.slice(0, cuts[1]), batch.slice(cuts[1])]))).to_pylist()
             assert {(r["x"], r["y"]) for r in got if r["word"] is None} == {(x, y) for x in range(n) for y in range(min(x, 24, most))}
             assert {r["x"] for r in got if r["word"] == 7} == set(range(min(most, 24) + 1, n))
 
@@ -71,8 +96,10 @@ def test_lines_edges(spark, documents, texts, nothing):
     got = {r.doc_id: list(r.removed) for r in lines.dedup_lines(documents).collect()}
     assert got == brute_lines(texts)
     assert lines.dedup_lines(nothing).count() == 0
-    twice = spark.createDataFrame([(1, "a b\na b\nc"), (1, "a b\na b\nc"), (2, None), (3, "")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.kept_text) for r in lines.dedup_lines(twice).collect() if r.doc_id != 2) == [(1, "a b\nc"), (1, "a b\nc"), (3, "")]
+    twice = spark.createDataFrame([(1, "a b\na b\nc"), (1, "a b\na b\nc"), (2, None), (3, ""), (None, "a b\na b")], "doc_id long, text string")
+    got = lines.dedup_lines(twice).collect()
+    assert sorted((r.doc_id or 0, r.kept_text) for r in got if r.doc_id != 2) == [(0, "a b\na b"), (1, "a b\nc"), (1, "a b\nc"), (3, "")]
+    assert [list(r.removed) for r in got if r.doc_id is None] == [[]]
 
 
 ITEM = "If Alice has 3 apples and buys 12 more apples at 5 km from home, how many apples does Alice carry back to Bob after 3 days?"
