@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,10 +22,14 @@ def allowed(blocks: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def without_losers(hits: DataFrame, pairs=PRECEDENCE) -> DataFrame:
-    """Hits but those of a losing rule whose winner hit the same block."""
-    table = hits.sparkSession.createDataFrame(list(pairs), "winner string, loser string")
-    beaten = hits.join(F.broadcast(table), hits["rule"] == F.col("winner")).select("path", "block", F.col("loser").alias("rule")).distinct()
-    return hits.join(beaten, ["path", "block", "rule"], "left_anti")
+    """Hits but those of a losing rule whose winner hit the same block.
+
+    The rules that hit a block, fifteen at most, stand beside each of its hits: no join.
+    """
+    lost = F.lit(False)
+    for winner, loser in pairs:
+        lost = lost | ((F.col("rule") == loser) & F.array_contains("__hit", winner))
+    return hits.withColumn("__hit", F.collect_set("rule").over(W.partitionBy("path", "block"))).where(~lost).drop("__hit")
 
 
 def density(blocks: DataFrame, subjects: DataFrame, limits: DataFrame) -> DataFrame:

@@ -68,8 +68,8 @@ blocks AS (SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY start) A
 directives AS (SELECT path, start, start_row, "end", rule, reason FROM told WHERE rule IS NOT NULL AND NOT is_directive),
 met AS (SELECT d.path, d.start, d.rule, d.reason, min(b.block) AS block FROM directives d JOIN blocks b ON b.path = d.path AND b.start_row IN (d.start_row, d.start_row + 1) GROUP BY ALL),
 held AS (SELECT path, block, arg_max(rule, start) AS rule, arg_max(coalesce(reason, ''), start) AS reason0 FROM met GROUP BY path, block),
-nodes AS (SELECT path, "end" + 50 + 100 * (l_suppkey % 2) AS start, "end" + 90 + 100 * (l_suppkey % 2) AS "end", end_row + 1 + l_suppkey % 2 AS start_row FROM d_comments WHERE l_partkey % 3 = 0),
-attached AS (SELECT b.*, CASE WHEN b.is_trailing THEN 'trailing' WHEN n.start_row = b.run_end_row + 1 THEN 'below' ELSE 'detached' END AS attachment FROM blocks b ASOF LEFT JOIN nodes n ON b.path = n.path AND n.start >= b.run_end)"""
+nodes AS (SELECT path, "end" + 50 + 100 * (l_suppkey % 2) AS start, "end" + 90 + 100 * (l_suppkey % 2) AS "end", end_row + 1 + l_suppkey % 2 AS start_row, end_row + 1 + l_suppkey % 2 AS end_row, ("end" + 50 + 100 * (l_suppkey % 2)) % 7 AS subject FROM d_comments WHERE l_partkey % 3 = 0),
+attached AS (SELECT b.*, n.subject AS n_subject, CASE WHEN b.is_trailing THEN 'trailing' WHEN n.start_row = b.run_end_row + 1 THEN 'below' ELSE 'detached' END AS attachment FROM blocks b ASOF LEFT JOIN nodes n ON b.path = n.path AND n.start >= b.run_end)"""
 )
 
 
@@ -88,7 +88,7 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
     c = comments(spark, sf).where("l_partkey % 3 = 0")
     gap = F.col("l_suppkey") % 2
     row = F.col("end_row") + 1 + gap
-    return c.select("path", (F.col("end") + 50 + 100 * gap).alias("start"), (F.col("end") + 90 + 100 * gap).alias("end"), row.alias("start_row"), row.alias("end_row"), F.lit(None).cast("long").alias("subject"), F.array(F.lit("customer"), F.lit("name")).alias("identifiers"), F.lit(False).alias("in_error"))
+    return c.select("path", (F.col("end") + 50 + 100 * gap).alias("start"), (F.col("end") + 90 + 100 * gap).alias("end"), row.alias("start_row"), row.alias("end_row"), ((F.col("end") + 50 + 100 * gap) % 7).alias("subject"), F.array(F.lit("customer"), F.lit("name")).alias("identifiers"), F.lit(False).alias("in_error"))
 
 
 def marked(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,9 +239,12 @@ def block_text(spark: SparkSession, sf: str) -> DataFrame:
     return blocks(spark, sf).select("path", "block", "kind", "start", "end", "line_count", "body")
 
 
-@query(f"{D_BLOCKS} SELECT path, block, attachment FROM attached")
+@query(f"""{D_BLOCKS}, placed_blocks AS (SELECT path, block, attachment, n_subject FROM attached), beside AS (SELECT b.path, b.block, CASE WHEN n.end_row = b.start_row THEN n.subject END AS subject FROM blocks b ASOF LEFT JOIN nodes n ON b.path = n.path AND b.start >= n."end")
+SELECT path, block, attachment, CASE attachment WHEN 'trailing' THEN beside.subject WHEN 'below' THEN n_subject END AS subject, CASE WHEN attachment = 'below' OR (attachment = 'trailing' AND beside.subject IS NOT NULL) THEN ['customer', 'name'] ELSE [] END AS attached FROM placed_blocks JOIN beside USING (path, block)""")
 def attachment(spark: SparkSession, sf: str) -> DataFrame:
-    return attached(spark, sf).select("path", "block", "attachment")
+    """Subjects here are those of the node, for doc comments too."""
+    b = blocks(spark, sf).withColumn("kind", F.lit("line"))
+    return B.attach(b, nodes(spark, sf)).select("path", "block", "attachment", "subject", "attached")
 
 
 @query(f"{D_BLOCKS} SELECT path, block FROM attached WHERE attachment = 'detached'")
@@ -303,7 +306,7 @@ def impl_leak(spark: SparkSession, sf: str) -> DataFrame:
 
 # Dispatch and report.
 
-_HITS = f"hits AS (SELECT path, block, 'narration' AS rule FROM attached WHERE {_first(V.NARRATION)} IS NOT NULL UNION ALL SELECT path, block, 'hedging' FROM attached WHERE {_first(V.HEDGING)} IS NOT NULL UNION ALL SELECT path, block, 'detached' FROM attached WHERE attachment = 'detached' UNION ALL SELECT path, block, 'banner' FROM attached WHERE regexp_full_match(body, '[-=*_#~+]{{3,}}'))"
+_HITS = f"hits AS MATERIALIZED (SELECT path, block, 'narration' AS rule FROM attached WHERE {_first(V.NARRATION)} IS NOT NULL UNION ALL SELECT path, block, 'hedging' FROM attached WHERE {_first(V.HEDGING)} IS NOT NULL UNION ALL SELECT path, block, 'detached' FROM attached WHERE attachment = 'detached' UNION ALL SELECT path, block, 'banner' FROM attached WHERE regexp_full_match(body, '[-=*_#~+]{{3,}}'))"
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -312,7 +315,8 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
     return attached(spark, sf).select("path", "block", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(r)) for r, c in fired.items())))).alias("rule"))
 
 
-@query(f"{D_BLOCKS}, {_HITS} SELECT path, block, rule FROM hits h WHERE NOT (rule = 'detached' AND EXISTS (SELECT 1 FROM hits w WHERE w.path = h.path AND w.block = h.block AND w.rule IN ('banner', 'commentedOutCode')))")
+@query(f"""{D_BLOCKS}, {_HITS}, won AS MATERIALIZED (SELECT DISTINCT path, block FROM hits WHERE rule IN ('banner', 'commentedOutCode'))
+SELECT path, block, rule FROM hits WHERE rule <> 'detached' UNION ALL SELECT h.path, h.block, h.rule FROM hits h ANTI JOIN won USING (path, block) WHERE h.rule = 'detached'""")
 def precedence(spark: SparkSession, sf: str) -> DataFrame:
     return D.without_losers(_hits(spark, sf))
 
