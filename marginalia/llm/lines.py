@@ -8,9 +8,9 @@ positions that leave enough room (positional filter), and have similar sizes (le
 
 Equal sets are settled by one aggregation, on 128 bits.  Of the rest, the postings go to buckets of tokens, packed as columns of
 numbers; the number of buckets follows the postings.  A token with many lines is streamed there run by run, others come sorted
-together.  Each line is compared with the first ``HELD`` different lines of the token and gives its ``PAIRS`` likeliest candidates, so
-a token shared by a large group of near copies costs time in proportion to its lines.  Candidates are verified on whole sets.  Lines
-that had more candidates, or stand further down a longer list, and found no match are then joined with all other lines of the list.
+together.  Each line is compared with the first ``HELD`` different lines of the token and gives its candidates if they are few, else the
+``PAIRS`` likeliest, so a token shared by a large group of near copies costs time in proportion to its lines.  Candidates are verified on
+whole sets.  Lines that had more, or stand further down a longer list, and found no match are then joined with all other lines of the list.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ from .marks import marked, marks_of
 from .work import Work, utf8
 
 THRESHOLD = (4, 5)
-HELD, PAIRS = 1024, 2
+#: Lines of a word that others are compared with; candidates of a line that has more than ``FEW`` times as many.
+HELD, PAIRS, FEW = 1024, 8, 2
 SLOT_BITS, SLICE_BITS = 20, 12
 #: A word whose slot counts more sets than this is sent by itself, run by run; bytes of postings in a bucket of other words.
 MANY, BUCKET_BYTES, POSTING_BYTES = 4096, 12 << 20, 48
@@ -129,13 +131,18 @@ LINES = "doc_id long, tie int, line int, key long, key2 long, text long, slice i
 def _keys(batches) -> Iterator[pa.RecordBatch]:
     """A row per line that has words, with the hashes of its set and of its bytes; at the end word counts by hash slot, in slices."""
     names, kinds = [x.split()[0] for x in LINES.split(", ")], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    total = np.zeros(1 << SLOT_BITS, np.int64)
+    total, held = np.zeros(1 << SLOT_BITS, np.int64), []
     for c in _chunks(batches):
         line, at, h = c.sets()
         if len(line):
-            total += np.bincount((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
+            held.append(_slot(h).astype(np.int32))
+            if sum(map(len, held)) > len(total):
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+                held = []
             none = np.full(len(line), None)
             yield _batch([*c.place(line), _key(at, h).view(np.int64), _key(at, h, 1).view(np.int64), c.line_hashes()[line].view(np.int64), none, none], kinds, names)
+    if held:
+        total += np.bincount(np.concatenate(held), minlength=len(total))
     parts = total.reshape(-1, 1 << SLICE_BITS)
     used = np.flatnonzero(parts.any(1))
     none = np.full(len(used), None)
@@ -323,10 +330,12 @@ class _List:
             met = ok.sum(1)
             some = np.flatnonzero(met)
             likely = np.where(ok[some], (differ[some] << 32) | np.arange(width), _NONE)
-            if self.pairs < width:
-                likely = np.partition(likely, self.pairs - 1, axis=1)[:, : self.pairs]
+            few = FEW * self.pairs
+            if few < width:
+                likely = np.sort(np.partition(likely, few - 1, axis=1)[:, :few], axis=1)
+                likely[met[some] > few, self.pairs :] = _NONE
             r, c = np.nonzero(likely != _NONE)
-            rest = (met > self.pairs) | ((self.seen + np.arange(z.start, z.stop) > self.held) if width else False)
+            rest = (met > few) | ((self.seen + np.arange(z.start, z.stop) > self.held) if width else False)
             yield key[z][some[r]], hk[likely[r, c] & 0xFFFFFFFF], key[z][rest]
         self.seen += len(key)
 
@@ -334,7 +343,7 @@ class _List:
 def _short(got: dict[str, np.ndarray], inside: np.ndarray, rank: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates of words with few lines, all words at once: each line with the k-th earlier one of its word."""
     key, sign, more, n, pos = (got[k] for k in ("key", "sign", "more", "n", "pos"))
-    met, best = np.zeros(len(key), np.int32), np.full((pairs, len(key)), _NONE)
+    met, best = np.zeros(len(key), np.int32), np.full((min(FEW * pairs, int(rank[inside].max(initial=0))), len(key)), _NONE)
     for k in range(1, int(rank[inside].max(initial=0)) + 1):
         i = np.flatnonzero(inside & (rank >= k))
         i = i[key[i] != key[i - k]]
@@ -345,8 +354,10 @@ def _short(got: dict[str, np.ndarray], inside: np.ndarray, rank: np.ndarray, pai
             had = slot[i]
             slot[i] = np.minimum(had, value)
             value = np.maximum(had, value)
+    rest = np.flatnonzero(met > FEW * pairs)
+    best[pairs:, rest] = _NONE
     _, i = np.nonzero(best != _NONE)
-    return key[i], key[best[best != _NONE] & 0xFFFFFFFF], np.flatnonzero(met > pairs)
+    return key[i], key[best[best != _NONE] & 0xFFFFFFFF], rest
 
 
 def _matched(held: int, pairs: int, small: int = 48):
@@ -398,12 +409,13 @@ def _matched(held: int, pairs: int, small: int = 48):
     return run
 
 
-def _marked(marks: np.ndarray):
-    """Word sets of the lines whose bytes have their hash marked."""
+def _marked(docs: np.ndarray, marks: np.ndarray):
+    """Word sets of the lines whose bytes have their hash marked, of the documents that are marked."""
     kinds, names = [pa.int64(), pa.int64(), pa.list_(pa.int64())], ["key", "key2", "words"]
 
     def run(batches):
-        for c in _chunks(batches):
+        some = (b.filter(pa.array(marked(docs, b.column("mark").to_numpy().view(np.uint64)))) for b in batches)
+        for c in _chunks(some):
             only = marked(marks, c.line_hashes())
             if not only.any():
                 continue
@@ -432,7 +444,8 @@ def removed_keys(rows: DataFrame, first: DataFrame, total: np.ndarray, work: Wor
         """Of (x, y) pairs of keys, the later key of each pair that is similar."""
         pairs = work.put(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"pairs-{name}")
         need = work.put(pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct().join(first.drop("n"), "key"), f"need-{name}")
-        sets = rows.mapInArrow(_marked(marks_of(need.select("first.text"), "text")), "key long, key2 long, words array<long>").groupBy("key", "key2").agg(F.first("words").alias("words"))
+        marks = marks_of(need.select(F.xxhash64("first.doc_id").alias("doc")), "doc"), marks_of(need.select("first.text"), "text")
+        sets = rows.mapInArrow(_marked(*marks), "key long, key2 long, words array<long>").groupBy("key", "key2").agg(F.first("words").alias("words"))
         sets = work.put(need.join(sets, ["key", "key2"]), f"sets-{name}")
         left, right = (sets.select(F.col("key").alias(k), F.col("key2").alias(f"{k}2"), F.col("words").alias(f"{k}w"), F.col("first").alias(f"{k}f")) for k in "xy")
         both = pairs.join(left, "x").join(right, "y")
@@ -472,10 +485,23 @@ def dedup_lines(docs: DataFrame, held: int = HELD, pairs: int = PAIRS) -> DataFr
     their text; rows equal in both share their fate.  An empty table gives no rows.  Columns named like
     the three new ones are replaced.
     """
+    text = F.col("text").cast("string")
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    out = _judged(docs.drop("n_lines", "removed", "kept_text"), held, pairs).withColumn("n_lines", n_lines).withColumn("kept_text", F.col("__kept"))
+    return out.withColumn("removed", F.coalesce("__removed", F.array().cast("array<int>"))).drop("__removed", "__kept")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The input with its own columns, whatever their names, text without the lines that ``dedup_lines`` removes."""
+    return _judged(docs, HELD, PAIRS).withColumn("text", F.col("__kept")).select(*docs.columns)
+
+
+def _judged(docs: DataFrame, held: int, pairs: int) -> DataFrame:
+    """The input's columns, __removed (line numbers, or null) and __kept (the text without them)."""
     work = Work(docs.sparkSession, "lines")
     repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()  # else there's nothing to break ties of
     tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") if repeated else F.lit(0)
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tie.alias("tie"), utf8(F.col("text").cast("string")).alias("data"))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tie.alias("tie"), utf8(F.col("text").cast("string")).alias("data"), F.xxhash64(F.col("doc_id").cast("long")).alias("mark"))
     both = work.put(rows.mapInArrow(_keys, LINES), "lines")
     lines = both.where("line is not null").select("doc_id", "tie", "line", "key", "key2", "text")
     where = F.struct("doc_id", "tie", "line")
@@ -484,9 +510,17 @@ def dedup_lines(docs: DataFrame, held: int = HELD, pairs: int = PAIRS) -> DataFr
     fate = first.join(gone, ["key", "key2"], "left").where("gone or n > 1").select("key", "key2", "gone", F.struct("first.doc_id", "first.tie", "first.line").alias("first"))
     lost = lines.drop("text").join(fate, ["key", "key2"]).where(F.col("gone") | (where > F.col("first")))
     lost = work.put(lost.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
-    given = docs.drop("n_lines", "removed", "kept_text").withColumn("__tie", tie)
-    keyed = lost.select(F.col("doc_id").alias("__doc"), F.col("tie").alias("__tie2"), "removed")
-    out = given.join(keyed, (given["doc_id"] == keyed["__doc"]) & (given["__tie"] == keyed["__tie2"]), "left").drop("__doc", "__tie", "__tie2")
-    split = F.split(F.col("text").cast("string"), "\n", -1)
-    kept = F.when(F.col("removed").isNull(), F.col("text").cast("string")).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains("removed", i)), "\n"))
-    return out.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long")).withColumn("kept_text", kept).withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    # A bitmap of fixed size tells which documents may lose lines; only their texts go through the join.
+    marks = marks_of(lost.select(F.xxhash64("doc_id").alias("doc")), "doc")
+
+    @F.pandas_udf("boolean")
+    def may_lose(h: pd.Series) -> pd.Series:
+        return pd.Series(marked(marks, h.to_numpy().view(np.uint64)))
+
+    given = docs.withColumn("__tie", tie).withColumn("__maybe", may_lose(F.xxhash64(F.col("doc_id").cast("long"))))
+    keyed = lost.select(F.col("doc_id").alias("__doc"), F.col("tie").alias("__tie2"), F.col("removed").alias("__removed")).hint("shuffle_hash")
+    some = given.where("__maybe").join(keyed, (F.col("doc_id") == F.col("__doc")) & (F.col("__tie") == F.col("__tie2")), "left").drop("__doc", "__tie2")
+    out = some.unionByName(given.where("not __maybe").withColumn("__removed", F.lit(None).cast("array<int>"))).drop("__tie", "__maybe")
+    text = F.col("text").cast("string")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("__removed", i)), "\n")
+    return out.withColumn("__kept", F.when(F.col("__removed").isNull(), text).otherwise(kept))
