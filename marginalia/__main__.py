@@ -3,16 +3,29 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
+import tempfile
 from pathlib import Path
 
+from . import __version__
 from .plans.registry import Config, defaults_toml, discover
 
 CONFIG_NAME = "marginalia.toml"
 
 
+def replace_text(path: str, text: str) -> None:
+    """Write a file whole or not at all: beside it first, then in its place, with its mode."""
+    at = Path(path).resolve()
+    with tempfile.NamedTemporaryFile("w", encoding="utf-8", newline="", dir=at.parent, delete=False) as f:
+        f.write(text)
+    os.chmod(f.name, at.stat().st_mode)
+    os.replace(f.name, at)
+
+
 def main(argv: list[str]) -> int:
     p = argparse.ArgumentParser(prog="marginalia", description=__doc__)
+    p.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
     p.add_argument("command", choices=["check", "fix", "defaults"])
     p.add_argument("paths", nargs="*")
     p.add_argument("--since")
@@ -41,12 +54,16 @@ def main(argv: list[str]) -> int:
     files, bad = S.read(spark, paths)
     if a.command == "fix":
         for r in corrected(files, config).toLocalIterator():
-            Path(r["path"]).write_text(r["content"])
+            replace_text(r["path"], r["content"])
             print(r["path"], file=sys.stderr)
         files, bad = S.read(spark, paths)
     report = check(files, config, bad)
-    for r in (report.machine() if a.format == "machine" else report.human()).toLocalIterator():
-        print(r["text"])
+    try:
+        for r in (report.machine() if a.format == "machine" else report.human()).toLocalIterator():
+            print(r["text"])
+        sys.stdout.flush()
+    except BrokenPipeError:  # the reader has seen enough
+        os.dup2(os.open(os.devnull, os.O_WRONLY), sys.stdout.fileno())
     return report.exit_code()
 
 

@@ -89,7 +89,7 @@ def check(files: DataFrame, config: Config | None = None, unreadable: DataFrame
     ready = keep(ready)
     tried = keep(D.allowed(ready, reg))
     ran = tried.where("not withheld").select("path", "block", "rule", "tier", "fix", "lang", "kind")
-    hits = keep(D.without_losers(rules.block_hits(ready, marker).join(ran, ["path", "block", "rule"])))
+    hits = keep(D.without_losers(rules.block_hits(ready, marker, {r.name: r.instruction() for r in config.extra_rules if r.runs == "block"}).join(ran, ["path", "block", "rule"])))
     place = ready.select("path", "block", "start", "end")
     found = D.suppressed(hits.join(place, ["path", "block"]), held)
     of_rule = lambda rule: F.broadcast(reg.where(f"enabled and rule = '{rule}'").select("lang", "kind", "tier", "fix", "rule"))
@@ -114,6 +114,9 @@ def check(files: DataFrame, config: Config | None = None, unreadable: DataFrame
         return df.select("path", "lang", "kind", pick("block", "int", None), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"), "rule", "tier", "fix", "instruction", pick("note", "string", None), pick("suppressed", "boolean", False), F.lit(ord_).alias("ord"))
 
     every = shaped(found, "start", "end", 0).unionByName(shaped(dense, "start", "end", 1)).unionByName(shaped(bare, "directive_start", "directive_end", 2)).unionByName(shaped(dead, "directive_start", "directive_end", 3))
+    for r in config.extra_rules:
+        if r.runs == "subject":
+            every = every.unionByName(shaped(r.find(ready, subjects).join(of_rule(r.name), ["lang", "kind"]), "start", "end", 1))
     every = keep(every)
     starts = source.select("path", "content").join(every.groupBy("path").agg(F.array_sort(F.collect_set("start")).alias("starts")), "path").mapInPandas(_places, "path string, start long, line long, col long")
     findings = R.without_repeats(every.join(starts, ["path", "start"]))

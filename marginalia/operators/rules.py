@@ -52,11 +52,12 @@ def restates(body: Column, attached: Column) -> Column:
     return (F.size(attached) > 0) & (F.size(tokens) > 0) & (F.size(F.array_except(tokens, attached)) == 0)
 
 
-def block_hits(blocks: DataFrame, marker: str = IGNORE_MARKER) -> DataFrame:
+def block_hits(blocks: DataFrame, marker: str = IGNORE_MARKER, more: dict[str, Column] | None = None) -> DataFrame:
     """(path, block, rule, instruction, note) of all block rules, disabled ones included.
 
     blocks: body, is_trailing, lang, attachment, attached, kind, line_count, member_count (null without subject), code (whether
     the body is code), leaked (an unexported name it uses), absolute_doc_lines, doc_lines_per_member.
+    more: instructions of further rules.
     """
     body = F.col("body")
     found = text_rules(body, F.col("is_trailing"), F.col("lang"), marker)
@@ -66,6 +67,7 @@ def block_hits(blocks: DataFrame, marker: str = IGNORE_MARKER) -> DataFrame:
     found["implInInterface"] = say("implInInterface", F.col("leaked"))
     long, note = docbloat(F.col("line_count"), F.col("member_count"), F.col("absolute_doc_lines"), F.col("doc_lines_per_member"))
     found["docbloat"] = F.when(F.col("member_count").isNotNull(), long)
+    found |= more or {}
     hits = F.array(*(F.struct(F.lit(rule).alias("rule"), c.alias("instruction"), (note if rule == "docbloat" else F.lit(None).cast("string")).alias("note")) for rule, c in found.items()))
     each = blocks.select("path", "block", F.explode(F.filter(hits, lambda h: h["instruction"].isNotNull())).alias("h"))
     return each.select("path", "block", "h.*")

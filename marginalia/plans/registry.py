@@ -8,7 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .vocabulary import EXCLUDED_PATHS, IGNORE_MARKER, LANGUAGES, RULES, THRESHOLDS
+from .extend import BlockRule, SubjectRule
+from .vocabulary import COMMON_WORDS, EXCLUDED_PATHS, IGNORE_MARKER, LANGUAGES, RULES, THRESHOLDS
 
 _RULE_KEYS, _TOP = {"enabled", "autofix", "tier"}, {"rules", "thresholds", "languages", "excluded_paths"}
 
@@ -22,7 +23,8 @@ class Config:
     languages: dict[str, dict] = field(default_factory=dict)
     excluded_paths: tuple[str, ...] = EXCLUDED_PATHS
     ignore_marker: str = IGNORE_MARKER
-    common_words: tuple[str, ...] = ()
+    common_words: tuple[str, ...] = COMMON_WORDS
+    extra_rules: tuple[BlockRule | SubjectRule, ...] = ()
 
     @classmethod
     def parse(cls, text: str) -> Config:
@@ -38,7 +40,8 @@ class Config:
 
     def problems(self) -> list[str]:
         """All that is wrong, not only the first."""
-        known, wrong = {r[0] for r in RULES}, []
+        known, wrong = {r[0] for r in all_rules(self)}, []
+        wrong += [f"rule {r.name} is there already" for r in self.extra_rules if r.name in {x[0] for x in RULES}]
         for where, part in (("", {"rules": self.rules, "thresholds": self.thresholds}), *((f"languages.{k}.", v) for k, v in self.languages.items())):
             wrong += [f"unknown key {where}{k}" for k in part.keys() - {"rules", "thresholds"}]
             wrong += [f"unknown threshold {where}{k}" for k in part.get("thresholds", {}).keys() - THRESHOLDS.keys()]
@@ -65,10 +68,14 @@ def discover(start: str | Path, name: str) -> Path | None:
 REGISTRY = "lang string, rule string, kind string, tier string, fix string, autofix boolean, runs string, withheld_by string, enabled boolean"
 
 
+def all_rules(config: Config) -> tuple[tuple, ...]:
+    return RULES + tuple((r.name, r.line, r.block, r.doc, r.autofix, r.runs, r.withheld_by) for r in config.extra_rules)
+
+
 def registry_rows(config: Config) -> list[tuple]:
     out = []
     for lang in LANGUAGES:
-        for rule, line, block, doc, autofix, runs, withheld in RULES:
+        for rule, line, block, doc, autofix, runs, withheld in all_rules(config):
             for kind, given in (("line", line), ("block", block), ("doc", doc)):
                 if given:
                     tier, fix = given.split("/")

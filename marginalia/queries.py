@@ -418,7 +418,7 @@ def config_layering(spark: SparkSession, sf: str) -> DataFrame:
     return D.layered(spark, base, general, n.where("k % 2 = 0").select("lang", F.lit("b").alias("name"), F.col("k").cast("int").alias("value")))
 
 
-# Rows only: these need a parser.
+# These need a parser; the files follow a rule, so SQL can state what is in them.
 
 _SOURCES = {"go": "package p\n\n// Previously f{k} was here\nfunc F{k}(a int) int {{\n\treturn a // TODO\n}}\n\n// x := f(1)\n\nvar y = 1\n", "python": '"""M."""\n\n\ndef f{k}(x):\n    """F."""\n    y = x\n    # now we return\n    return y\n'}
 
@@ -429,21 +429,34 @@ def _made_files(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("path", F.when(F.col("k") == 0, "go").otherwise("python").alias("lang"), text.alias("content"))
 
 
-@query()
+_NAMED = "made AS (SELECT 'src/' || CAST(c_custkey AS VARCHAR) AS path, CAST(c_custkey AS VARCHAR) AS id, length(CAST(c_custkey AS VARCHAR)) AS n, c_custkey % 2 = 0 AS go FROM customer)"
+#: What is to be found in the files: for Go or not, start and end less the digits of the name (once or twice), rule, line, column, tier, fix.
+_EXPECTED = [
+    (True, 11, 0, 35, 1, "narration", 3, 1, "warn", "rewrite", 'remove this comment: it narrates the edit ("previously") rather than describing the code'),
+    (True, 66, 2, 73, 2, "task", 5, 11, "warn", "rewrite", "add an issue reference to this TODO, as TODO(#123) or TODO(KAT-45), or delete it"),
+    (True, 77, 2, 89, 2, "commentedOutCode", 8, 1, "gate", "delete", "delete this commented-out code: version control already has it"),
+    (False, 48, 1, 63, 1, "narration", 7, 5, "gate", "delete", 'remove this comment: it narrates the edit ("now we") rather than describing the code'),
+]
+_VALUES = ", ".join("({}, {}, {}, {}, {}, '{}', {}, {}, '{}', '{}', '{}')".format(*x) for x in _EXPECTED)
+
+
+@query(f"""WITH {_NAMED}, told(go, a, an, z, zn, rule, line, col, tier, fix, instruction) AS (VALUES {_VALUES})
+SELECT path, CAST(a + an * n AS BIGINT) AS start, CAST(z + zn * n AS BIGINT) AS "end", rule, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col, tier, fix, instruction, false AS suppressed FROM made JOIN told USING (go)""")
 def check_files(spark: SparkSession, sf: str) -> DataFrame:
     from .check import check
 
     return check(_made_files(spark, sf)).findings.select("path", "start", "end", "rule", "line", "col", "tier", "fix", "instruction", "suppressed")
 
 
-@query()
+@query(f"WITH {_NAMED}" + ''' SELECT path, replace(replace('"""M."""|||def fNN(x):|    """F."""|    y = x|    return y|', '|', chr(10)), 'NN', id) AS content FROM made WHERE NOT go''')
 def fix_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that the deletions switched on by default change."""
     from .check import corrected
 
     return corrected(_made_files(spark, sf))
 
 
-@query()
+@query(f"WITH {_NAMED}, told(go, lang, n_comments, n_nodes, n_subjects, n_symbols) AS (VALUES (true, 'go', 3, 5, 3, 3), (false, 'python', 3, 3, 2, 1)) SELECT path, lang, false AS file_error, n_comments, n_nodes, n_subjects, n_symbols FROM made JOIN told USING (go)")
 def parse_facts(spark: SparkSession, sf: str) -> DataFrame:
     from .sources.parse import facts
 

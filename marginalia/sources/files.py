@@ -33,20 +33,42 @@ def walk(roots: list[str], excluded: tuple[str, ...] = EXCLUDED_PATHS) -> list[s
 
 
 def changed_since(ref: str, folder: str = ".") -> list[str]:
-    """Existing files that differ from a git revision, are staged or untracked."""
-    git = lambda *a: subprocess.run(["git", "-C", folder, *a], capture_output=True, text=True)
-    born = git("rev-parse", "--verify", "-q", "HEAD").returncode == 0
-    if born and git("rev-parse", "--verify", "-q", f"{ref}^{{commit}}").returncode:
-        raise ValueError(f"no such revision: {ref}")
-    top, found = git("rev-parse", "--show-toplevel").stdout.strip(), set()
+    """Existing files that differ from a git revision, are staged or untracked; ValueError where git can't say."""
+
+    def git(*args: str) -> str:
+        done = subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True)
+        if done.returncode:
+            raise ValueError(f"git {' '.join(args)}: {done.stderr.strip() or 'failed'}")
+        return done.stdout
+
+    top = git("rev-parse", "--show-toplevel").strip()
+    try:
+        git("rev-parse", "--verify", "-q", f"{ref}^{{commit}}")
+    except ValueError:
+        raise ValueError(f"no such revision: {ref}") from None
     runs = [["ls-files", "--others", "--exclude-standard", "--full-name", ":/"]]
-    if born:
+    try:
+        git("rev-parse", "--verify", "-q", "HEAD")
         runs += [["diff", "--name-only", "--diff-filter=ACMR", f"{ref}...HEAD"], ["diff", "--name-only", "--diff-filter=ACMR", "HEAD"]]
-    for args in runs:
-        found |= {os.path.join(top, x) for x in git(*args).stdout.splitlines()}
+    except ValueError:
+        pass  # no commit here yet: nothing to differ from
+    found = {os.path.join(top, x) for args in runs for x in git(*args).splitlines()}
     return sorted(p for p in found if os.path.isfile(p))
 
 
+def staged(folder: str, into: str) -> list[str]:
+    """Copies under ``into`` of the added, copied and modified files as the index has them, not the working tree."""
+    top = subprocess.run(["git", "-C", folder, "rev-parse", "--show-toplevel"], capture_output=True, text=True, check=True).stdout.strip()
+    names = subprocess.run(["git", "-C", top, "diff", "--cached", "--name-only", "-z", "--diff-filter=ACM"], capture_output=True, check=True).stdout.split(b"\0")
+    out = []
+    for name in sorted(os.fsdecode(n) for n in names if n):
+        target = Path(into) / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_bytes(subprocess.run(["git", "-C", top, "show", f":{name}"], capture_output=True, check=True).stdout)
+        out.append(str(target))
+    return out
+
+
 def not_excluded(path: Column, excluded: tuple[str, ...] = EXCLUDED_PATHS) -> Column:
     return ~F.arrays_overlap(F.split(path, "/"), F.lit(list(excluded))) if excluded else F.lit(True)
 

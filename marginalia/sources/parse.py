@@ -1,7 +1,7 @@
 """The one step outside Spark SQL: a file's text to facts about its comments, code and declarations.
 
-A scanner per language family separates comments, strings and code; declarations come from Python's own
-parser for Python and from header patterns with matched braces for the others.  All offsets are bytes.
+A scanner per language separates comments, strings and code; declarations come from Python's own
+parser for Python and from an outline of bracketed statements for the others.  All offsets are bytes.
 """
 
 from __future__ import annotations
@@ -16,34 +16,26 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..plans.extend import PARSERS
 from ..plans.vocabulary import LICENCE_OPENERS, MIN_CODE_NODES, SHELL_FUNCTION_WORDS
+from .outline import TYPE, VARIANTS, Declaration, outline
+from .scan import scan
 
-_C = r'(?P<c>//[^\n]*|/\*.*?(?:\*/|\Z))|"""(?:\\.|.)*?(?:"""|\Z)|"(?:\\.|[^"\\\n])*"?'
-_SCAN = {
-    "go": _C + r"|`[^`]*`?|'(?:\\.|[^'\\\n])+'",
-    "rust": _C.replace('"""(?:\\\\.|.)*?(?:"""|\\Z)|', '') + r"|r#*\".*?\"#*|'(?:\\[^']*|[^'\\\n])'",
-    "java": _C + r"|'(?:\\.|[^'\\\n])+'",
-    "typescript": _C + r"|`(?:\\.|[^`\\])*`?|'(?:\\.|[^'\\\n])*'?|(?P<h><!--[^\n]*)",
-    "swift": _C,
-    "python": r'(?P<c>\#[^\n]*)|[rRbBuUfF]{0,2}(?:"""(?:\\.|.)*?(?:"""|\Z)|\'\'\'(?:\\.|.)*?(?:\'\'\'|\Z)|"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?)',
-    "bash": r"(?P<c>(?:(?<=[\s;(])|^|\A)\#[^\n]*)|<<-?\s*(?P<q>['\"]?)(?P<w>\w+)(?P=q).*?\n\s*(?P=w)\b|'[^']*'?|\"(?:\\.|[^\"\\])*\"?|\\.|\$\#|\$\{\#",
-}
-_SCAN = {k: re.compile(v, re.S | (re.M if k == "bash" else 0)) for k, v in _SCAN.items()}
-_MODS = r"(?:(?:public|private|protected|internal|fileprivate|open|static|final|abstract|override|async|export|default|declare|readonly|const|mutating|class|sealed|synchronized|native)\s+)*"
-_DECL = {
-    "go": r"(?P<head>func\s*(?:\([^)]*\)\s*)?|type\s+|var\s+|const\s+|package\s+)(?P<name>\w+)",
-    "rust": r"(?P<head>(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+|extern\s+)*(?:fn|struct|enum|union|trait|impl|mod|type|static|macro_rules!|const)\s+)(?P<name>\w+)",
-    "java": rf"(?P<head>{_MODS}(?:(?:class|interface|enum|record|@interface)\s+|(?!(?:return|new|else|throw|case|if|for|while|switch)\b)[\w<>\[\],.?]+\s+(?=\w+\s*[(=;])))(?P<name>\w+)",
-    "typescript": rf"(?P<head>{_MODS}(?:function\*?|class|interface|enum|type|namespace|let|var|const)\s+|(?P<m>(?:public|private|protected|static|async|get|set|\s)*))(?P<name>[\w$]+)(?(m)\s*\([^)]*\)\s*(?::[^{{;]+)?\{{)",
-    "swift": rf"(?P<head>{_MODS}(?:func|class|struct|enum|protocol|extension|actor|var|let|typealias|subscript|init|deinit)\b\s*)(?P<name>\w*)",
-    "bash": r"(?P<head>function\s+|)(?P<name>[\w:.-]+)\s*(?:\(\)\s*\{|(?<=\w)\s*\{)",
-}
-_DECL = {k: re.compile(r"\s*" + v) for k, v in _DECL.items()}
-_KEYWORD = frozenset("if for while switch catch return else do try match loop guard".split())
+_FUNCTION = re.compile(r"[ \t]*(?:function[ \t]+(?P<name>[\w:.-]+)[ \t]*(?:\([ \t]*\))?|(?P<name2>[\w:.-]+)[ \t]*\([ \t]*\))\s*(?=\{|\()")
+_ASSIGNED = re.compile(r"(?:(?:export|readonly|declare|typeset|local)\s+(?:-\w+\s+)*)?(?P<name>[A-Za-z_]\w*)(?:\[[^\]]*\])?\+?=")
+_COMMAND = re.compile(r"(?:^|[;|&({`]|\$\(|\b(?:then|do|else|if|while|until|elif|!)\s)\s*((?:[A-Za-z_]\w*\+?=\S*\s+)*)([\w./:-]+)")
 _IDENT = re.compile(r"[^\W\d]\w*")
 _CUT = re.compile(r"[_\-]+|(?<=[^A-Z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][^A-Z])")
 
 
+def shell_names(line: str) -> list[str]:
+    """Sorted parts of what a line of shell binds or calls: assigned variables, commands, a function's name; no arguments."""
+    f = _FUNCTION.match(line)
+    words = [f["name"] or f["name2"]] if f else [w for m in _COMMAND.finditer(line) for w in (m[2], *re.findall(r"(\w+)\+?=", m[1]))]
+    words += [m["name"] for m in [_ASSIGNED.match(line.strip())] if m]
+    return parts_of(" ".join(words))
+
+
 def parts_of(code: str) -> list[str]:
     """Sorted lower-case identifier parts of a piece of code."""
     return sorted({p.lower() for w in _IDENT.findall(code) for p in _CUT.split(w) if p})
@@ -59,18 +51,22 @@ class Facts:
 
 
 class _Text:
-    """Rows and byte offsets of character positions."""
+    """Rows and byte offsets of character positions, each found by bisection."""
 
     def __init__(self, text: str):
         self.text = text
         self.rows = [0, *(m.end() for m in re.finditer("\n", text))]
-        self.ascii = text.isascii()
+        self.wide, self.extra = [], [0]
+        for m in re.finditer(r"[^\x00-\x7f]+", text):
+            for k, c in enumerate(m[0]):
+                self.wide.append(m.start() + k)
+                self.extra.append(self.extra[-1] + len(c.encode("utf-8", "surrogatepass")) - 1)
 
     def row(self, at: int) -> int:
         return bisect.bisect_right(self.rows, at) - 1
 
     def byte(self, at: int) -> int:
-        return at if self.ascii else len(self.text[:at].encode())
+        return at + self.extra[bisect.bisect_left(self.wide, at)]
 
 
 def strip_marks(lang: str, raw: str) -> str:
@@ -87,20 +83,40 @@ def strip_marks(lang: str, raw: str) -> str:
     return re.sub(r"^<!--|-->$", "", raw)
 
 
-def exported(lang: str, name: str, head: str, owner: bool) -> str:
+def exported(lang: str, name: str, head: str, owner: str | None = None) -> str:
+    """Visibility of a name by its head; ``owner``: that of the interface, enumeration, trait or class it's a member of."""
     if lang == "go":
         return "exported" if (name[:1].isupper() if not head.startswith("package") else name != "main") else "restricted"
     if lang == "python":
         return "restricted" if name.startswith("_") else "exported"
     if lang == "bash":
         return "private" if name.startswith("_") else "exported"
+    head = head.split("(")[0] if not re.match(r"\s*pub\s*\(", head) else head
     if lang == "rust":
-        return "restricted" if re.match(r"\s*pub\(", head) else "exported" if re.match(r"\s*pub\b", head) else "private"
+        return "restricted" if re.match(r"\s*pub\s*\(", head) else "exported" if re.match(r"\s*pub\b", head) else owner or "private"
+    if re.search(r"\b(?:private|fileprivate)\b(?!\(set)", head) or name.startswith("#"):
+        return "private"
     if lang == "java":
-        return "exported" if re.search(r"\b(public|protected)\b", head) else "private" if "private" in head else "restricted"
+        return "exported" if re.search(r"\b(public|protected)\b", head) else owner or "restricted"
     if lang == "typescript":
-        return "private" if re.search(r"\b(private|protected)\b", head) else "exported" if owner or "export" in head else "restricted"
-    return "exported" if re.search(r"\b(public|open)\b", head) else "private" if re.search(r"private", head) else "restricted"
+        return "private" if re.search(r"\bprotected\b", head) else "exported" if re.search(r"\bexport\b", head) else owner or "restricted"
+    return "exported" if re.search(r"\b(public|open)\b(?!\(set)", head) else owner or "restricted"
+
+
+def _owned(lang: str, d: Declaration, vis: dict[int, str]) -> str | None:
+    """Visibility that a member takes from what it's a member of, if it takes any."""
+    up = d.parent
+    if up is None:
+        return None
+    if lang == "rust":
+        if up.head.startswith("impl") and re.search(r"\bfor\b", up.head):
+            return "exported"
+        return vis.get(id(up)) if d.owner == VARIANTS or re.search(r"\btrait\b", up.head) else None
+    if lang == "java":
+        return vis.get(id(up)) if d.owner == VARIANTS or re.search(r"\binterface\b", up.head) else None
+    if lang == "swift":
+        return vis.get(id(up)) if (d.owner == VARIANTS and "case" in d.head) or re.search(r"\bprotocol\b", up.head) else None
+    return vis.get(id(up)) if d.owner in (TYPE, VARIANTS) else None
 
 
 def is_doc_mark(lang: str, raw: str) -> bool:
@@ -110,37 +126,15 @@ def is_doc_mark(lang: str, raw: str) -> bool:
     return block or (lang == "swift" and bool(re.match(r"///(?!/)", raw)))
 
 
-def _braces(masked: str) -> tuple[dict[int, int], list[int]]:
-    """Where each opening brace closes, and the braces without a partner."""
-    close, stack, loose = {}, [], []
-    pairs = {")": "(", "]": "[", "}": "{"}
-    for m in re.finditer(r"[()\[\]{}]", masked):
-        if m[0] in "([{":
-            stack.append((m[0], m.start()))
-        elif stack and stack[-1][0] == pairs[m[0]]:
-            close[stack.pop()[1]] = m.start()
-        else:
-            loose.append(m.start())
-    return close, loose + [at for _, at in stack]
-
-
 def parse(lang: str, text: str) -> Facts:
     """Facts of one file.  An unknown construct is code; a file that can't be scanned whole has ``file_error``."""
     t, out = _Text(text), Facts()
-    found, docstrings, tree = [], {}, None
-    mask = list(text)
-
-    def blank(a: int, z: int) -> None:
-        mask[a:z] = ["\n" if x == "\n" else " " for x in text[a:z]]
-
-    for m in _SCAN[lang].finditer(text):
-        if m.groupdict().get("c") is not None or m.groupdict().get("h") is not None:
-            found.append((m.start(), m.start() + len(m[0].rstrip("\r"))))
-            blank(m.start(), m.end())
-        elif lang != "bash" or m[0][0] in "'\"<":
-            mask[m.start() : m.end()] = [x if x == "\n" else "\x00" for x in text[m.start() : m.end()]]
+    docstrings, tree = {}, None
+    found, masked = scan(lang, text)
+    code = masked
     errors: list[tuple[int, int]] = []
     subjects: list[dict] = []
+    symbols: list[tuple[str, str]] = []
     end_row = len(t.rows) - 1
     if lang == "python":
         try:
@@ -151,61 +145,59 @@ def parse(lang: str, text: str) -> Facts:
             errors.append((max([r for r in tops if r <= row], default=0), min([r - 1 for r in tops if r > row], default=end_row)))
             out.file_error = True
         if tree is not None:
-            at = lambda n, end=False: t.rows[(n.end_lineno if end else n.lineno) - 1] + len(text[t.rows[(n.end_lineno if end else n.lineno) - 1] :].encode()[: n.end_col_offset if end else n.col_offset].decode("utf-8", "ignore"))
+
+            def at(n: ast.AST, end: bool = False) -> int:
+                row, column = (n.end_lineno - 1, n.end_col_offset) if end else (n.lineno - 1, n.col_offset)
+                line = text[t.rows[row] : t.rows[row + 1] if row < end_row else len(text)]
+                return t.rows[row] + (column if line.isascii() else len(line.encode()[:column].decode("utf-8", "ignore")))
+
             for node in ast.walk(tree):
                 if isinstance(node, ast.Module | ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
                     doc = node.body[0] if node.body and isinstance(node.body[0], ast.Expr) and isinstance(node.body[0].value, ast.Constant) and isinstance(node.body[0].value.value, str) else None
                     root = isinstance(node, ast.Module)
-                    s = {"a": 0 if root else at(node), "z": len(text) if root else at(node, True), "name": "" if root else node.name, "vis": "exported" if root else exported(lang, node.name, "", False), "members": len(node.body) - (doc is not None), "root": root, "row": -1 if root else node.lineno - 1}
+                    s = {"a": 0 if root else at(node), "z": len(text) if root else at(node, True), "name": None if root else node.name, "vis": "exported" if root else exported(lang, node.name, ""), "members": len(node.body) - (doc is not None), "root": root, "row": -1 if root else node.lineno - 1}
                     subjects.append(s)
                     if doc is not None:
                         docstrings[at(doc)] = (at(doc, True), s)
             subjects.sort(key=lambda s: (s["a"], not s["root"]))
-            for a, (z, _) in docstrings.items():
-                blank(a, z)
+            symbols += [(s["name"], s["vis"]) for s in subjects if s["name"]]
+            spans = sorted((a, z) for a, (z, _) in docstrings.items())
+            edges = [0, *(x for span in spans for x in span), len(text)]
+            code = "".join(masked[a:z] if k % 2 == 0 else re.sub(r"[^\n]", " ", text[a:z]) for k, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)))
     else:
-        masked = "".join(mask)
-        close, loose = _braces(masked)
-        if loose and lang != "bash":
+        found_in, loose = (_shell(masked), []) if lang == "bash" else outline(lang, masked)
+        if loose:
             out.file_error = True
             tops = [r for r in range(end_row + 1) if masked[t.rows[r] : t.rows[r] + 1].strip() not in ("", "}", ")")]
-            for at_ in loose:
-                row = t.row(at_)
-                errors.append((max([r for r in tops if r <= row], default=0), min([r - 1 for r in tops if r > row], default=end_row)))
+            for row in sorted({t.row(at) for at in loose}):
+                k = bisect.bisect_right(tops, row)
+                errors.append((tops[k - 1] if k else 0, tops[k] - 1 if k < len(tops) else end_row))
         if lang in ("rust", "bash"):
-            subjects.append({"a": 0, "z": len(text), "name": "", "vis": "exported", "members": sum(1 for r in t.rows if masked[r : r + 1].strip() not in ("", "}", ")")), "root": True, "row": -1})
-        depth = _depths(masked)
-        for r, start in enumerate(t.rows):
-            line = masked[start : t.rows[r + 1] if r < end_row else len(text)]
-            m = _DECL[lang].match(line)
-            if not m or not line.strip() or m["name"] in _KEYWORD or (lang in ("go", "bash") and depth[r] > 0):
-                continue
-            if lang in ("typescript", "java", "swift", "rust") and _in_body(masked, t.rows, r, depth, subjects):
-                continue
-            a = start + len(line) - len(line.lstrip())
-            open_ = masked.find("{", a)
-            stop = start + len(line.rstrip())
-            semi = masked.find(";", a, stop)
-            has_body = open_ >= 0 and (open_ < stop or masked[stop:open_].strip(" \t\n") == "" or masked[a:stop].count("(") > masked[a:stop].count(")")) and not 0 <= semi < open_
-            z = close.get(open_, stop - 1) + 1 if has_body else stop
-            inside = range(t.row(open_) + 1, t.row(z - 1)) if has_body else range(0)
-            members = sum(1 for k in inside if depth[k] == depth[r] + 1 and masked[t.rows[k] : t.rows[k + 1]].strip(" \t\n,;)}]"))
-            head = m["head"] or ""
-            callable_ = bool(re.search(r"func|fn|function|\($", head)) or "(" in masked[a : open_ if has_body else stop]
-            subjects.append({"a": a, "z": max(z, a + 1), "name": m["name"], "vis": exported(lang, m["name"], head.strip(), depth[r] > 0), "members": members, "root": False, "row": r, "body": has_body, "call": callable_})
-    code = "".join(mask)
-    by_row = {s["row"]: k for k, s in enumerate(subjects)}
-    code_rows = []
+            subjects.append({"a": 0, "z": len(text), "vis": "exported", "members": sum(1 for r in t.rows if masked[r : r + 1].strip() not in ("", "}", ")")), "root": True, "row": -1})
+        vis: dict[int, str] = {}
+        for d in found_in:
+            owner = _owned(lang, d, vis)
+            vis[id(d)] = exported(lang, d.names[0] if d.names else "", d.head.strip(), owner)
+            if d.symbol:
+                symbols += [(name, exported(lang, name, d.head.strip(), owner)) for name in d.names]
+            if d.listed:
+                subjects.append({"a": d.a, "z": d.z, "vis": vis[id(d)], "members": d.members, "root": False, "row": t.row(d.a), "head": masked[d.a : d.head_end]})
+    by_row: dict[int, int] = {}
+    for k, s in enumerate(subjects):
+        by_row.setdefault(s["row"], k)
+    code_rows, bad = [], set()
+    for x, y in errors:
+        bad.update(range(x, y + 1))
     for r, start in enumerate(t.rows):
         line = code[start : t.rows[r + 1] if r < end_row else len(text)]
         if line.strip():
             a, z = start + len(line) - len(line.lstrip()), start + len(line.rstrip())
             k = by_row.get(r)
-            head = line.split("{")[0] if k is not None else line
-            bad = any(x <= r <= y for x, y in errors)
-            out.nodes.append((t.byte(a), t.byte(z), r, r, k, parts_of(head.replace("\x00", " ")), bad))
+            names = shell_names(line) if lang == "bash" else parts_of((line if k is None else subjects[k].get("head") or line.split("{")[0]).replace("\x00", " "))
+            out.nodes.append((t.byte(a), t.byte(z), r, r, k, names, r in bad))
             code_rows.append(r)
     items = [(a, z, None) for a, z in found] + [(a, z, s) for a, (z, s) in docstrings.items()]
+    number = {id(s): k for k, s in enumerate(subjects)}
     first_code, runs_above = (code_rows[0] if code_rows else end_row + 1), {}
     for a, z, doc_of in sorted(items, key=lambda x: x[0]):
         raw = text[a:z]
@@ -213,7 +205,7 @@ def parse(lang: str, text: str) -> Facts:
         last = row + raw.rstrip().count("\n")
         trailing = bool(code[t.rows[row] : a].strip())
         kind = "block" if raw.startswith("/*") else "line"
-        subject = subjects.index(doc_of) if doc_of is not None else None
+        subject = number[id(doc_of)] if doc_of is not None else None
         is_doc = doc_of is not None
         if not is_doc and not trailing and lang != "python":
             k = bisect.bisect_left(code_rows, last + 1)
@@ -232,29 +224,44 @@ def parse(lang: str, text: str) -> Facts:
                 subject = 0 if inner else by_row.get(below)
                 is_doc = subject is not None
         out.comments.append((t.byte(a), t.byte(z), row, last, strip_marks(lang, raw), trailing, is_doc, kind, subject if is_doc else None, a == 0 and text.startswith("#!")))
-    commented = set(code_rows)
     for k, s in enumerate(subjects):
-        lines = sum(1 for r in commented if t.row(s["a"]) <= r <= t.row(max(s["a"], s["z"] - 1)))
+        lines = bisect.bisect_right(code_rows, t.row(max(s["a"], s["z"] - 1))) - bisect.bisect_left(code_rows, t.row(s["a"]))
         out.subjects.append((k, t.byte(s["a"]), t.byte(s["z"]), s["members"], lines, s["root"], s["vis"]))
-        if s["name"]:
-            out.symbols.append((k, s["name"], s["vis"]))
+    out.symbols += [(k, name, seen) for k, (name, seen) in enumerate(symbols)]
     return out
 
 
-def _depths(masked: str) -> list[int]:
-    out, depth = [], 0
+def _shell(masked: str) -> list[Declaration]:
+    """Functions, and the variables that are assigned at the top."""
+    out: list[Declaration] = []
+    close, stack, depth = {}, [], []
+    for m in re.finditer(r"[{}]", masked):
+        if m[0] == "{":
+            stack.append(m.start())
+        elif stack:
+            close[stack.pop()] = m.start()
+    at, opened, nested = 0, sorted(close.items()), 0
     for line in masked.split("\n"):
-        out.append(depth)
-        depth = max(0, depth + len(re.findall(r"[({\[]", line)) - len(re.findall(r"[)}\]]", line)))
+        line += "\n"
+        nested -= len(re.findall(r"(?:^|;)\s*(?:fi|done|esac)\b", line))
+        stripped = at + len(line) - len(line.lstrip())
+        while opened and opened[0][0] < at:
+            a, z = opened.pop(0)
+            depth.append(z)
+        depth = [z for z in depth if z >= at]
+        f = _FUNCTION.match(masked, at)
+        if f and line.strip() and not f[0].strip().startswith("if "):
+            body = f.end()
+            z = close.get(body, at + len(line.rstrip()) - 1) + 1
+            inside = [x for x in masked[body + 1 : z - 1].split("\n") if x.strip() and x.strip() not in ("}", "fi", "done", "esac", "then", "do", "else")]
+            out.append(Declaration(stripped, z, body, [f["name"] or f["name2"]], masked[stripped:body], TYPE, len(inside)))
+        elif not depth and nested <= 0 and (v := _ASSIGNED.match(line.strip())):
+            out.append(Declaration(stripped, at + len(line.rstrip()), at + len(line.rstrip()), [v["name"]], line.strip(), TYPE, listed=False))
+        nested += len(re.findall(r"(?:^|;|&&|\|\|)\s*(?:if|for|while|until|case|select)\b(?!.*;\s*(?:fi|done|esac)\b)", line))
+        at += len(line)
     return out
 
 
-def _in_body(masked: str, rows: list[int], r: int, depth: list[int], subjects: list[dict]) -> bool:
-    """Whether a row lies inside the body of something that is called: what stands there is local."""
-    at = rows[r]
-    return any(s.get("body") and s.get("call") and s["a"] < at < s["z"] for s in subjects)
-
-
 FACTS = (
     "path string, lang string, file_error boolean, "
     "comments array<struct<start:long,end:long,start_row:long,end_row:long,body:string,is_trailing:boolean,is_doc:boolean,kind:string,doc_subject:long,is_shebang:boolean>>, "
@@ -271,12 +278,13 @@ def _named(rows: list[tuple], names: str) -> list[dict]:
 
 def facts(files: DataFrame) -> DataFrame:
     """One row of nested facts per file (path, lang, content); the text goes no further than this."""
+    added = dict(PARSERS)  # goes to the executors with the function
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, lang, content in zip(b["path"], b["lang"], b["content"], strict=True):
-                f = parse(lang, content)
+                f = added[lang](content) if lang in added else parse(lang, content)
                 rows.append({
                     "path": path, "lang": lang, "file_error": f.file_error,
                     "comments": _named(f.comments, "start end start_row end_row body is_trailing is_doc kind doc_subject is_shebang"),
@@ -308,6 +316,6 @@ def is_code(lang: str, body: str) -> bool:
         return not prose and bool(re.search(r"\$[\w{(]|(?<!\|)\|(?!\|)|&&|\|\||[<>]|^\w+=|\[\[?\s|(?:^|\s)--?\w", re.sub(r"`[^`]*`", "", text), re.M))
     if not re.search(r"[=(){}\[\];]", text) and not re.match(r"(return|break|continue|import|use|package)\b\s*[\w.:]+;?$", text):
         return False
-    shape = re.compile(r"[\w.$\[\]*&<>:, ]+\s*(:=|[+\-*/|&]?=(?!=))\s*\S.*|(return|throw|break|continue|import|use|defer|go)\b.*[;)\w]$|(if|for|while|switch|match|guard|else|func|fn|function|class|let|var|const|try|catch)\b.*[{;)]$|[\w.$:]+(!|\?)?\([^)]*\)?.*[;,){]$|[\w.$:]+\([^()]*\)$|[})\]]+[;,]?.*|.*[{;]$")
+    shape = re.compile(r"[\w.$\[\]*&<>:, ]+\s*(:=|[+\-*/|&]?=(?!=))\s*\S.*|(return|throw|break|continue|import|use|defer|go)\b.*[;)\w]$|(if|for|while|switch|match|guard|else|func|fn|function|class|let|var|const|try|catch)\b.*[{};)]$|[\w.$:]+(!|\?)?\([^)]*\)?.*[;,){]$|[\w.$:]+\([^()]*\)$|[})\]]+[;,]?.*|.*[{;]$")
     prose = re.compile(r"\b(the|a|an|is|are|this|that|which|because|when|should)\b\s+\w+\s+\w+", re.I)
     return all(shape.fullmatch(x) for x in lines) and not prose.search(re.sub(r'"[^"]*"', "", text))
