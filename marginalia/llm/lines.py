@@ -301,7 +301,8 @@ def fits(n, pos, sign, more, m, at, other, others):
     return (b * m >= a * n) & (b * n >= a * m) & ((a + b) * rest >= a * (n + m)) & ((a + b) * differ <= (b - a) * (n + m)), differ
 
 
-CANDIDATES = "x long, y long, word long"
+#: Pairs (x, y); lines that may have other partners (x, word, alone); all lines of the lists of such, but of words sent alone.
+CANDIDATES = "x long, y long, word long, alone boolean, sign long, more long, n int, pos int"
 _NONE = np.iinfo(np.int64).max
 
 
@@ -344,8 +345,11 @@ def _short(got: dict[str, np.ndarray], inside: np.ndarray, rank: np.ndarray, pai
     """Candidates of words with few lines, all words at once: each line with the k-th earlier one of its word."""
     key, sign, more, n, pos = (got[k] for k in ("key", "sign", "more", "n", "pos"))
     met, best = np.zeros(len(key), np.int32), np.full((min(FEW * pairs, int(rank[inside].max(initial=0))), len(key)), _NONE)
+    a, b = THRESHOLD
     for k in range(1, int(rank[inside].max(initial=0)) + 1):
         i = np.flatnonzero(inside & (rank >= k))
+        i = i[(b * n[i - k] >= a * n[i]) & (b * n[i] >= a * n[i - k])]  # most pairs end here or at the next
+        i = i[(a + b) * np.minimum(n[i] - pos[i], n[i - k] - pos[i - k]) >= a * (n[i] + n[i - k])]
         i = i[key[i] != key[i - k]]
         ok, differ = fits(n[i], pos[i], sign[i], more[i], n[i - k], pos[i - k], sign[i - k], more[i - k])
         i, value = i[ok], (differ[ok] << 32) | (i[ok] - k)
@@ -362,11 +366,22 @@ def _short(got: dict[str, np.ndarray], inside: np.ndarray, rank: np.ndarray, pai
 
 def _matched(held: int, pairs: int, small: int = 48):
     """Packed postings by bucket, word and order of documents to candidates, and to (x, null, word) for lines that may have others."""
-    names, kinds = ["x", "y", "word"], [pa.int64()] * 3
+    names = [x.split()[0] for x in CANDIDATES.split(", ")]
+    kinds = [*[pa.int64()] * 3, pa.bool_(), *[pa.int64()] * 2, *[pa.int32()] * 2]
 
-    def out(xs, ys, rest, words) -> pa.RecordBatch:
+    def out(xs, ys, rest, words, alone: bool, lists: dict[str, np.ndarray] | None = None) -> pa.RecordBatch:
         x, y, r, w = (np.concatenate([np.zeros(0, np.uint64), *v]).view(np.int64) for v in (xs, ys, rest, words))
-        return _batch([np.append(x, r), pa.array(np.append(y, r), mask=np.arange(len(x) + len(r)) >= len(x)), pa.array(np.append(x, w), mask=np.arange(len(x) + len(r)) < len(x))], kinds, names)
+        got = lists or {k: np.zeros(0, COLUMNS[k]) for k in (*WIDE, "n", "pos")}
+        sizes = np.array([len(x), len(r), len(got["n"])])
+        part = np.repeat(np.arange(3), sizes)
+
+        def column(which: int, values: np.ndarray) -> pa.Array:
+            full = np.zeros(len(part), values.dtype if values.dtype != np.uint64 else np.int64)
+            full[part == which] = values.view(np.int64) if values.dtype == np.uint64 else values
+            return pa.array(full, mask=part != which)
+
+        first = [np.concatenate([x, r, got["key"].view(np.int64)]), column(0, y), pa.array(np.concatenate([x, w, got["word"].view(np.int64)]), mask=part == 0)]
+        return _batch([*first, column(1, np.full(len(r), alone)), *(column(2, got[k]) for k in ("sign", "more", "n", "pos"))], kinds, names)
 
     def bucket(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         got = _unpacked(parts)
@@ -384,7 +399,8 @@ def _matched(held: int, pairs: int, small: int = 48):
                 ys.append(y)
                 rest.append(r)
                 words.append(np.full(len(r), word[z.start]))
-        yield out(xs, ys, rest, words)
+        whole = np.isin(word, np.concatenate(words))
+        yield out(xs, ys, rest, words, False, {k: v[whole] for k, v in got.items()})
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         at, parts, now = None, [], _List(held, pairs)
@@ -402,7 +418,7 @@ def _matched(held: int, pairs: int, small: int = 48):
                     now = _List(held, pairs, word)
                 got = np.frombuffer(b"".join(x for _, _, x in mine), ALONE)
                 for x, y, r in now.add([got[k] for k in ALONE.names]):
-                    yield out([x], [y], [r], [np.full(len(r), word, np.int64).view(np.uint64)])
+                    yield out([x], [y], [r], [np.full(len(r), word, np.int64).view(np.uint64)], True)
         if parts:
             yield from bucket(parts)
 
@@ -461,13 +477,18 @@ def removed_keys(rows: DataFrame, first: DataFrame, total: np.ndarray, work: Wor
     sent = rows.mapInArrow(_packed(rarity, buckets), PACKED).repartition(max(2, -(-buckets // 2)), "bucket").sortWithinPartitions("bucket", "word", "doc", "tie", "line")
     found = work.put(sent.mapInArrow(_matched(held, most), CANDIDATES), "candidates")
     gone = verified(found.where("y is not null").select("x", "y"), "held")
-    left = work.put(found.where("y is null").select(F.col("x").alias("key"), "word").distinct().join(gone, "key", "left_anti"), "left")
-    work.drop("candidates")
+    left = work.put(found.where("alone is not null").select(F.col("x").alias("key"), "word", "alone").distinct().join(gone, "key", "left_anti"), "left")
     if left.isEmpty():
+        work.drop("candidates", "left")
         return gone
     columns = POSTINGS.replace(" long", "").replace(" int", "").split(", ")
-    some = rows.mapInArrow(_listed(rarity, marks_of(left, "word")), POSTINGS).join(left.select("word").distinct(), "word", "left_semi").distinct()
-    some = work.put(some, "lists")
+    some = found.where("n is not null").select("word", F.col("x").alias("key"), "sign", "more", "n", "pos")
+    alone = left.where("alone")
+    if not alone.isEmpty():
+        some = some.unionByName(rows.mapInArrow(_listed(rarity, marks_of(alone, "word")), POSTINGS))
+    some = work.put(some.join(left.select("word").distinct(), "word", "left_semi").distinct(), "lists")
+    left = left.drop("alone")
+    work.drop("candidates")
     mine = some.join(left, ["word", "key"], "left_semi").select(*(F.col(c).alias(f"my_{c}") for c in columns))
     near, _ = fits(*(F.col(c) for c in ("my_n", "my_pos", "my_sign", "my_more", "n", "pos", "sign", "more")))
     pairs = mine.join(some, (F.col("my_word") == F.col("word")) & (F.col("key") != F.col("my_key")) & near)
