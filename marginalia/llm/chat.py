@@ -74,18 +74,29 @@ def render_spans(template: Callable[[list[Turn]], str], turns: list[Turn]) -> tu
     return before, spans, False
 
 
-def loss_spans(template: BracketTemplate, turns: list[Turn], spans: list[tuple[int, int]], output: str) -> list[tuple[int, int]]:
-    """Spans of the escaped assistant texts, each inside the span of its turn."""
+def loss_spans(template: BracketTemplate, turns: list[Turn], spans: list[tuple[int, int]], output: str) -> list[tuple[int, int]] | None:
+    """Spans of the escaped assistant texts, each inside the span of its turn; None where the output lacks one as it is.
+
+    A template that says where a text begins (``header``) is asked; with any other the text must stand once in
+    what the turn added, else it can't be told which place is meant.
+    """
     found = []
     for (role, text), (a, b) in zip(turns, spans, strict=True):
-        if role == template.loss_role:
+        if role == getattr(template, "loss_role", "assistant"):
             body = template.escape(text) if hasattr(template, "escape") else escape(text)
-            at = output.rfind(body, a, b) if not hasattr(template, "header") else a + len(template.header(role))
+            if hasattr(template, "header"):
+                at = a + len(template.header(role))
+            else:
+                at = output.find(body, a, b)
+                if body and at >= 0 and output.find(body, at + 1, b) >= 0:
+                    return None
+            if at < 0 or at + len(body) > b or not output.startswith(body, at):
+                return None
             found.append((at, at + len(body)))
     return found
 
 
-FORMATTED = "conv_id long, n_turns long, formatted string, loss_start array<long>, loss_end array<long>, rewrites boolean"
+FORMATTED = "conv_id long, n_turns long, formatted string, loss_start array<long>, loss_end array<long>, rewrites boolean, unmarked boolean"
 
 
 def _sorted_conversations(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[Turn]]]:
@@ -106,7 +117,8 @@ def format_conversations(conversations: DataFrame, template: Callable[[list[Turn
 
     Input: conv_id, turn, role, text; other columns are ignored.  Null role or text: empty.  Rows are
     taken by turn, ties by role and text, null turn first; a repeated row is a turn of its own.
-    Null conv_id is a conversation of its own.  An empty table gives no rows.  One conversation is one
+    Null conv_id is a conversation of its own.  rewrites: the template changed earlier output; unmarked: the output
+    lacks an assistant text as it is, or has it twice in its turn; such rows have no spans.  An empty table gives no rows.  One conversation is one
     output row, so it is held in memory once; rows of others only stream past.
     """
     template = template or BracketTemplate()
@@ -115,16 +127,16 @@ def format_conversations(conversations: DataFrame, template: Callable[[list[Turn
         rows: list[tuple] = []
 
         def flush():
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_()]
-            names = ["conv_id", "n_turns", "formatted", "loss_start", "loss_end", "rewrites"]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_(), pa.bool_()]
+            names = ["conv_id", "n_turns", "formatted", "loss_start", "loss_end", "rewrites", "unmarked"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
         size = 0
         for conv, turns in _sorted_conversations(batches):
             text, spans, rewrites = render_spans(template, turns)
             loss = loss_spans(template, turns, spans, text) if not rewrites else []
-            rows.append((conv, len(turns), text, [a for a, _ in loss], [b for _, b in loss], rewrites))
+            rows.append((conv, len(turns), text, [a for a, _ in loss or []], [b for _, b in loss or []], rewrites, loss is None))
             size += len(text)
             if size > 4 << 20:
                 yield flush()

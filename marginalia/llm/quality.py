@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: Common words of the languages the corpus may hold; compared in lower case, punctuation apart.
+#: Common words of the languages the corpus may hold; a word counts if it is one of them in lower case, as it stands: "the," isn't.
 STOP_WORDS = (
     "the of and to in a is that it for was on are as with be by this at from an or not "
     "de la le et les des en un une du que qui dans est pour au avec sur pas par "

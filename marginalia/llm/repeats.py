@@ -227,6 +227,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, block_bytes: int = 6 << 20)
 
     Input: doc_id, text; other columns are ignored.  Null and empty texts have no bytes.  Rows with equal
     doc_id don't count against each other, as none has the smaller doc_id; both meet all others.
+    Rows without doc_id come before and after none: they lose nothing and count against no other.
     Texts shorter than ``width`` lose nothing.  An empty table gives no rows.  Windows are
     compared by 48 bits of a 64-bit hash within a bucket.
     Output: doc_id, n_bytes, n_removed, spans (start, end; in bytes, maximal), kept (binary).
@@ -235,7 +236,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, block_bytes: int = 6 << 20)
         raise ValueError(f"width must be over {GRAM}")
     spark = docs.sparkSession
     work = Work(spark, "repeats")
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text").cast("string")).alias("data"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text").cast("string")).alias("data"))
+    raw = every.where("doc_id is not null")
     total = raw.agg(F.sum(F.octet_length("data"))).first()[0]
     n_blocks = parts_for(total, block_bytes)
     bits = min(16, max(0, (n_blocks - 1).bit_length()))
@@ -250,8 +252,6 @@ def remove_repeats(docs: DataFrame, width: int = 50, block_bytes: int = 6 << 20)
 
         for b in batches:
             for doc, data in zip(b.column("doc_id").to_pylist(), b.column("data"), strict=True):
-                if doc is None:
-                    raise ValueError("doc_id is null")
                 ids.append(doc)
                 parts.append(data.as_py())
                 size += len(parts[-1])
@@ -314,4 +314,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, block_bytes: int = 6 << 20)
                 at += n
             yield out(rows)
 
-    return joined(one, two, three).mapInArrow(finish, KEPT)
+    done = joined(one, two, three).mapInArrow(finish, KEPT)
+    size, none = F.octet_length("data").cast("long"), F.array().cast("array<struct<start:long,end:long>>")
+    whole = every.where("doc_id is null").select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), none.alias("spans"), F.col("data").alias("kept"))
+    return done.unionByName(whole)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .marks import marked, marks_of
 from .work import Work, parts_for, utf8
 
+PIECE = 1 << 14
 END = b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -118,17 +119,21 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
 
 def _member(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """The record in the gzip member at ``at``; ValueError where it doesn't inflate to one record."""
-    z = zlib.decompressobj(31)
+    z, parts, view, end = zlib.decompressobj(31), [], memoryview(data), at
     try:
-        plain = z.decompress(data[at:])
+        while not z.eof and end < len(data):  # piece by piece: what follows the member isn't touched
+            piece = view[end : end + PIECE]
+            parts.append(z.decompress(piece))
+            end += len(piece)
     except zlib.error as e:
         raise ValueError("bad gzip member") from e
     if not z.eof:
         raise ValueError("cut gzip member")
+    plain, after = b"".join(parts), end - len(z.unused_data)
     headers, block, end = parse(plain)
     if end != len(plain):
         raise ValueError("more than a record in a member")
-    return headers, block, len(data) - len(z.unused_data)
+    return headers, block, after
 
 
 _START = re.compile(rb"WARC/\d+\.\d+\r?\n|\x1f\x8b\x08")

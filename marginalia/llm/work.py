@@ -8,22 +8,12 @@ re-read and nothing else.  A folder of our own is used only where that setting i
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, else one made for a local session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="marginalia-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from ..sources.kept import shared_folder
 
 
 class Work:
@@ -31,7 +21,7 @@ class Work:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -3,7 +3,8 @@
 import random
 
 import pytest
-from marginalia.llm import decontaminate, lines
+from marginalia.llm import decontaminate, lines, quality
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marginalia.llm.work import table
@@ -201,28 +202,80 @@ def test_near_copies_stage_links_similar_shingles(spark, sf_dir):
     assert kept == {i for i, c in up.items() if i == c} and 20 < len(kept) < len(texts)
 
 
-def test_pipeline(spark, sf_dir):
-    """Every stage on its own input; what each drops is what direct computation says."""
-    from .test_text_ops import brute_components, brute_fingerprint, brute_quality
+def near_groups(texts):
+    """Smallest doc_id that links of similar five-word shingle sets reach, by comparing all pairs that share a shingle."""
+    from collections import defaultdict
+
+    def shingles(x):
+        w = (x or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, up, having = {i: shingles(x) for i, x in texts.items()}, {i: i for i in texts}, defaultdict(list)
 
-    docs = table(spark, sf_dir, "documents").limit(10**9)
-    columns = docs.columns
-    stage = dict(corpus_pipeline.STAGES)
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, s in sets.items():
+        for x in s or {None}:
+            having[x].append(i)
+    seen = set()
+    for group in having.values():
+        for a in group:
+            for b in group:
+                if a < b and (a, b) not in seen:
+                    seen.add((a, b))
+                    if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root(a) != root(b):
+                        up[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in texts}
+
+
+def test_pipeline(spark, sf_dir):
+    """Every stage on its own input, odd rows and columns of clashing names among it; what it drops is what direct computation says."""
+    from .test_text_ops import brute_quality
+    from .test_token_ops import crc, ids_of
+
+    given = table(spark, sf_dir, "documents").limit(10**9)
+    odd = [(10**6 + k, x) for k, x in enumerate([None, "", " \n ", "one two", "a b c d e\n" * 30])]
+    more = spark.createDataFrame(odd, "doc_id long, text string")
+    docs = given.unionByName(more, allowMissingColumns=True)
+    for name in ("n_lines", "removed", "kept_text", "key", "tie", "__row2"):
+        docs = docs.withColumn(name, F.lit(name))
+    columns, stage = docs.columns, dict(corpus_pipeline.STAGES)
+    before = {r.doc_id: r.text for r in docs.collect()}
     one = stage["quality rules"](spark, docs, sf_dir)
-    before, after = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.text for r in one.collect()}
-    assert one.columns == columns and after.keys() <= {i for i, x in before.items() if not brute_quality(x)[-1]}
-    two = stage["line dedup"](spark, one, sf_dir)
-    lost = brute_lines(after)
-    third_in = {r.doc_id: r.text for r in two.collect()}
-    assert two.columns == columns
-    assert third_in == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost[i]) for i, t in after.items()}
-    frozen = spark.createDataFrame([tuple(r) for r in two.collect()], two.schema)
-    three = stage["simhash near-dedup"](spark, frozen, sf_dir)
-    groups = brute_components({i: brute_fingerprint(x) for i, x in third_in.items()})
-    kept = {r.doc_id for r in three.collect()}
-    assert three.columns == columns and kept == {i for i, c in groups.items() if i == c}
-    four = stage["benchmark decontamination"](spark, frozen, sf_dir)
-    assert four.columns == columns and {r.doc_id for r in four.collect()} < third_in.keys()
+    after = {r.doc_id: r.text for r in one.collect()}
+    failed = {i for i, x in before.items() if brute_quality(x)[-1]}
+    judged = {r.doc_id: r.kept for r in quality.score(docs).collect()}
+    assert one.columns == columns and after == {i: x for i, x in before.items() if judged[i]} and not failed & after.keys()
+    two = stage["line dedup"](spark, docs, sf_dir)
+    lost = brute_lines(before)
+    shown = {r.doc_id: (r.text, r.n_lines, r.n_chars) for r in two.collect()}
+    kept = {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost[i]) for i, t in before.items()}
+    assert two.columns == columns and shown == {i: (t, "n_lines", None if t is None else len(t)) for i, t in kept.items()}
+    three = stage["simhash near-dedup"](spark, docs, sf_dir)
+    assert three.columns == columns and {r.doc_id for r in three.collect()} == {i for i, c in near_groups(before).items() if i == c}
+    four = stage["benchmark decontamination"](spark, docs, sf_dir)
+    passages = [" ".join(r.text.casefold().split()) for r in table(spark, sf_dir, "benchmark").collect()]
+    whole = {i for i, x in before.items() if any(p in " ".join((x or "").casefold().split()) for p in passages)}
+    assert four.columns == columns and {r.doc_id for r in four.collect()} == before.keys() - whole
+    pieces: dict = {}
+    for r in stage["packing"](spark, docs, sf_dir).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert pieces.keys() == before.keys()
+    for i, mine in pieces.items():
+        ids, at = ids_of(before[i], 1), 0
+        for r in sorted(mine, key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == crc(ids[at : at + r.length])
+            at += r.length
+        assert at == len(ids)
+
+
+def test_pipeline_stages_take_an_empty_table(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0, name
 
 
 def test_pipeline_runs_whole(spark, sf_dir):

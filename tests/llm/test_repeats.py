@@ -82,8 +82,8 @@ def test_edge_texts(spark, documents, texts, nothing):
 
 
 def test_equal_ids_do_not_count_against_each_other(spark):
-    rows = [(1, "x y z " * 20), (1, "x y z " * 20), (2, "x y z " * 20)]
+    rows = [(1, "x y z " * 20), (1, "x y z " * 20), (2, "x y z " * 20), (None, "x y z " * 20), (None, None)]
     found = defaultdict(list)
     for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         found[r.doc_id].append(r.n_removed)
-    assert found == {1: [0, 0], 2: [120]}
+    assert found == {1: [0, 0], 2: [120], None: [0, 0]}

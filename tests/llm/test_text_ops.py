@@ -115,6 +115,25 @@ def test_chat_detects_rewritten_history():
     assert chat.render_spans(last_only, [("user", "abc"), ("assistant", "def")])[2]
 
 
+def test_chat_flags_texts_that_the_output_lacks():
+    strips = lambda turns: "".join(f"<{r}>{t.strip()}" for r, t in turns)
+    for turns, want in (([("user", "q"), ("assistant", " a ")], None), ([("user", "q"), ("assistant", "a")], None), ([("user", "q"), ("assistant", "zz")], [(18, 20)])):
+        text, spans, rewrites = chat.render_spans(strips, turns)
+        assert not rewrites and chat.loss_spans(strips, turns, spans, text) == want
+
+
+def test_warc_members_cost_their_own_size():
+    import time
+
+    one = gzip.compress(record(1, "body"))
+    took = []
+    for n in (1000, 8000):
+        began = time.process_time()
+        assert sum(f[0] == "record" for f in warc.salvage(one * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * took[0]
+
+
 def test_chat_table(spark):
     rows = [(1, 2, "assistant", "b", 0), (1, 1, "user", None, 0), (2, 1, None, "q", 0), (2, 1, None, "q", 0), (3, None, "assistant", "</s>", 0)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns int")
