@@ -134,6 +134,24 @@ def test_sharding(documents, texts):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and slots.keys() <= set(range(8))
 
 
+@pytest.mark.parametrize(("bits", "n"), [(2, 300), (12, 300), (1, 40)])
+def test_sharding_is_minimax_over_groups(spark, bits, n):
+    """However coarse the first cells are, the largest shard is that of the best cut between any two groups."""
+    import hashlib
+    import random
+
+    r = random.Random(bits)
+    texts = ["x" * r.choice([3, 40, 200, 900]) + str(r.randrange(10**6)) for _ in range(n)]
+    df = spark.createDataFrame([(i, texts[i // 2 if i % 7 == 0 else i]) for i in range(n)], "doc_id long, text string")
+    rows = sharding.shard(df, 5, bits=bits, share=1.0).collect()
+    size, load = Counter(), Counter()
+    for r in df.collect():
+        size[hashlib.sha256(r.text.encode()).digest()] += len(r.text) + 1
+    for r in rows:
+        load[r.shard] += r.size
+    assert len(rows) == n and max(load.values()) == brute_minimax([size[k] for k in sorted(size)], 5)
+
+
 def test_sharding_equal_rows_and_hot_text(spark, nothing):
     assert sharding.shard(nothing).count() == 0
     rows = [(i, "hot " * 50 if i % 3 == 0 else f"text number {i} " * 11) for i in range(300)] + [(5, "again"), (5, "again")]
