@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .marks import marked, marks_of
 from .quality import STOP_WORDS
-from .work import Work
+from .work import Work, tidied
 
 WINDOW, LITERALS, LEAST = 8, 4, 3
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[%$€£]")
@@ -300,7 +300,7 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.5, run: int
     # A bitmap of fixed size says which windows are worth sending to the join.
     marks = marks_of(wanted, "hash")
     mine = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    met = work.put(mine.mapInArrow(_emit(sizes, marks), WINDOWS).select(F.col("key").alias("doc_id"), "kind", "size", F.col("at").alias("doc_at"), "word_at", "hash", F.col("given").alias("has")), "met")
+    met = work.put(mine.mapInArrow(tidied(_emit(sizes, marks)), WINDOWS).select(F.col("key").alias("doc_id"), "kind", "size", F.col("at").alias("doc_at"), "word_at", "hash", F.col("given").alias("has")), "met")
     pairs = met.join(wanted.select(F.col("key").alias("item_id"), "kind", "size", "at", "total", "length", "hash", "slots", "given"), ["kind", "size", "hash"])
     pairs = pairs.select("doc_id", "item_id", "kind", "size", (F.col("doc_at") - F.col("at")).alias("shift"), "word_at", "at", "total", "length", "slots", "given", "has")
-    return pairs.repartition("doc_id", "item_id").sortWithinPartitions("doc_id", "item_id").mapInArrow(_pairs(share, run), FOUND)
+    return pairs.repartition("doc_id", "item_id").sortWithinPartitions("doc_id", "item_id").mapInArrow(tidied(_pairs(share, run)), FOUND)

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .tokens import default_vocabulary, encoder
-from .work import Work
+from .work import Work, tidied
 
 
 def shortest_pack_first(histogram: dict[int, int], seq_len: int) -> list[tuple[list[int], int]]:
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, seq_len: int = 2048, vocabulary: str | None = None, en
     """
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
     work = Work(spark, "packing")
-    pieces = work.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_cut(vocabulary, end_id, seq_len), PIECE), "pieces")
+    pieces = work.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(_cut(vocabulary, end_id, seq_len)), PIECE), "pieces")
     buckets = max(1, -(-pieces.count() // per_bucket))
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))

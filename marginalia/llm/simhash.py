@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import smallest_reachable
-from .work import Work
+from .work import Work, tidied
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Segments (of two bits each) per grid.
 GRIDS = (11, 11, 10)
+#: The largest distance at which one of the grids differs by one step at most.
+REACH = 2 * len(GRIDS) - 1
 
 
 def _lanes() -> np.ndarray:
@@ -148,7 +150,7 @@ def links_in_cell(home: np.ndarray, visits: np.ndarray, radius: int = RADIUS, bl
     return out
 
 
-def _links(batches) -> Iterator[pa.RecordBatch]:
+def _links(batches, radius: int = RADIUS) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by cell; one cell at a time is held."""
     rest: list[np.ndarray] = []
 
@@ -158,7 +160,7 @@ def _links(batches) -> Iterator[pa.RecordBatch]:
         for a, z in zip(bounds[:-1], bounds[1:], strict=True):
             h = home[a:z]
             if z - a > 1 and h.any():
-                edges += links_in_cell(fp[a:z][h], fp[a:z][~h])
+                edges += links_in_cell(fp[a:z][h], fp[a:z][~h], radius)
         x = np.array(edges, np.uint64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy().view(np.int64)), pa.array(x[:, 1].copy().view(np.int64))], ["a", "b"])
 
@@ -176,6 +178,14 @@ def _links(batches) -> Iterator[pa.RecordBatch]:
         yield solve(*rest)
 
 
+def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) that join distinct fingerprints (fp) as all links of at most ``radius`` differing bits do."""
+    if radius > REACH:
+        raise ValueError(f"the grids find distances up to {REACH}")
+    cells = prints.select("fp").mapInArrow(tidied(_cells), "cell int, fp long, home boolean").repartition("cell").sortWithinPartitions("cell")
+    return cells.mapInArrow(tidied(lambda batches: _links(batches, radius)), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document.
 
@@ -192,8 +202,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def grouped(prints: DataFrame, work: Work) -> DataFrame:
     """What ``near_duplicates`` returns, from (doc_id, fp) rows; fp holds the 64 bits as a signed number."""
     nodes = work.put(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    cells = nodes.select("fp").mapInArrow(_cells, "cell int, fp long, home boolean").repartition("cell").sortWithinPartitions("cell")
-    edges = work.put(cells.mapInArrow(_links, "a long, b long"), "links")
+    edges = work.put(links(nodes), "links")
     named = edges.join(nodes.select(F.col("fp").alias("a"), F.col("doc_id").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("doc_id").alias("y")), "b")
     moved = smallest_reachable(named.select("x", "y"), work)
     # Only fingerprints whose group has a smaller document need a row here.

@@ -202,6 +202,45 @@ def test_near_copies_stage_links_similar_shingles(spark, sf_dir):
     assert kept == {i for i, c in up.items() if i == c} and 20 < len(kept) < len(texts)
 
 
+def test_near_copies_stage_links_close_fingerprints(spark, sf_dir, monkeypatch):
+    """Without MinHash, the SimHash step alone joins what is similar within its reach, and nothing else."""
+    import numpy as np
+    from marginalia.llm import copies, simhash
+
+    r = random.Random(5)
+    texts = {}
+    for i in range(0, 60, 3):
+        words = [f"w{r.randrange(500)}" for _ in range(r.choice([60, 200, 400]))]
+        texts |= {i: " ".join(words), i + 1: " ".join([*words, "new"]), i + 2: " ".join(["old", *words[:-1]])}
+    texts |= {90: "a b c d e", 91: "a b c d f", 92: None}
+    sets = {i: copies.shingles(x, 5) for i, x in texts.items()}
+    prints = {i: simhash.majority(s) if len(s) else 0 for i, s in sets.items()}
+    monkeypatch.setattr(copies, "bands", lambda hashes: np.zeros(0, np.int64))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r.component_id for r in copies.near_copies(docs, 5, 0.8).collect()}
+    assert found.keys() == texts.keys()
+    want = {i: min(j for j in texts if j == i or (i < 90 and j // 3 == i // 3)) for i in texts}
+    near = {(i, j) for i in texts for j in texts if i != j and (prints[i] ^ prints[j]).bit_count() <= simhash.REACH}
+    assert all(copies.similar(sets[i], sets[j], 0.8) for i, j in near) and any((prints[i] ^ prints[j]).bit_count() > simhash.RADIUS for i, j in near)
+    for i, j in near:
+        assert found[i] == found[j] == want[i]
+    assert all(found[i] == i for i in texts if not any(i == a for a, _ in near))
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, docs, sf_dir).collect()}
+    assert kept == {i for i, c in found.items() if i == c} and len(kept) < len(texts) - 20
+
+
+def test_fingerprints_of_unlike_sets_are_no_link(spark):
+    from marginalia.llm import copies
+    from marginalia.llm.work import Work
+
+    texts = {1: (0, "abcdefghi"), 2: (0, "abcdefgh"), 3: (0, "xyz"), 4: (31, "abcdefghij"), 5: (63, "klmnopqrs")}  # given fingerprints
+    rows = spark.createDataFrame([(i, " ".join(x)) for i, (_, x) in texts.items()], "doc_id long, text string").withColumn("mark", F.xxhash64("doc_id"))
+    nodes = [(i, bytes(copies._key(copies.shingles(" ".join(x), 5))), fp) for i, (fp, x) in texts.items()]
+    nodes = spark.createDataFrame(nodes, "node long, key binary, fp long")
+    got = {(r.x, r.y) for r in copies.by_fingerprint(nodes, rows, 5, 0.8, Work(spark, "test")).collect()}
+    assert got == {(1, 2), (1, 4)}
+
+
 def near_groups(texts):
     """Smallest doc_id that links of similar five-word shingle sets reach, by comparing all pairs that share a shingle."""
     from collections import defaultdict
