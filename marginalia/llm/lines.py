@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .byteprint import RangeHash, mix
 from .marks import marked, marks_of
-from .work import Work, utf8
+from .work import Work, tidied
 
 THRESHOLD = (4, 5)
 #: Lines of a word that others are compared with; candidates of a line that has more than ``FEW`` times as many.
@@ -36,6 +36,8 @@ HELD, PAIRS, FEW = 1024, 8, 2
 SLOT_BITS, SLICE_BITS = 20, 12
 #: A word whose slot counts more sets than this is sent by itself, run by run; bytes of postings in a bucket of other words.
 MANY, BUCKET_BYTES, POSTING_BYTES = 4096, 12 << 20, 48
+#: Documents whose ids are sent to every task.
+FEW_DOCS = 1 << 15
 #: Postings that a task sends at once.
 FLUSH = 300_000
 _BLANK = np.zeros(256, bool)
@@ -460,8 +462,11 @@ def removed_keys(rows: DataFrame, first: DataFrame, total: np.ndarray, work: Wor
         """Of (x, y) pairs of keys, the later key of each pair that is similar."""
         pairs = work.put(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"pairs-{name}")
         need = work.put(pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct().join(first.drop("n"), "key"), f"need-{name}")
+        docs = need.select(F.col("first.doc_id").alias("doc_id")).distinct()
+        few = docs.limit(FEW_DOCS + 1).count() <= FEW_DOCS  # their ids go to every task, else all texts go to the bitmap
         marks = marks_of(need.select(F.xxhash64("first.doc_id").alias("doc")), "doc"), marks_of(need.select("first.text"), "text")
-        sets = rows.mapInArrow(_marked(*marks), "key long, key2 long, words array<long>").groupBy("key", "key2").agg(F.first("words").alias("words"))
+        some = rows.join(F.broadcast(docs), "doc_id", "left_semi").select(*rows.columns) if few else rows
+        sets = some.mapInArrow(tidied(_marked(*marks)), "key long, key2 long, words array<long>").groupBy("key", "key2").agg(F.first("words").alias("words"))
         sets = work.put(need.join(sets, ["key", "key2"]), f"sets-{name}")
         left, right = (sets.select(F.col("key").alias(k), F.col("key2").alias(f"{k}2"), F.col("words").alias(f"{k}w"), F.col("first").alias(f"{k}f")) for k in "xy")
         both = pairs.join(left, "x").join(right, "y")
@@ -474,8 +479,8 @@ def removed_keys(rows: DataFrame, first: DataFrame, total: np.ndarray, work: Wor
 
     # A quarter of a set's words are sent at most, and one more.
     buckets = max(1, -(-int(total.sum()) * POSTING_BYTES // (4 * BUCKET_BYTES)))
-    sent = rows.mapInArrow(_packed(rarity, buckets), PACKED).repartition(max(2, -(-buckets // 2)), "bucket").sortWithinPartitions("bucket", "word", "doc", "tie", "line")
-    found = work.put(sent.mapInArrow(_matched(held, most), CANDIDATES), "candidates")
+    sent = rows.mapInArrow(tidied(_packed(rarity, buckets)), PACKED).repartition(max(2, -(-buckets // 2)), "bucket").sortWithinPartitions("bucket", "word", "doc", "tie", "line")
+    found = work.put(sent.mapInArrow(tidied(_matched(held, most)), CANDIDATES), "candidates")
     gone = verified(found.where("y is not null").select("x", "y"), "held")
     left = work.put(found.where("alone is not null").select(F.col("x").alias("key"), "word", "alone").distinct().join(gone, "key", "left_anti"), "left")
     if left.isEmpty():
@@ -485,7 +490,7 @@ def removed_keys(rows: DataFrame, first: DataFrame, total: np.ndarray, work: Wor
     some = found.where("n is not null").select("word", F.col("x").alias("key"), "sign", "more", "n", "pos")
     alone = left.where("alone")
     if not alone.isEmpty():
-        some = some.unionByName(rows.mapInArrow(_listed(rarity, marks_of(alone, "word")), POSTINGS))
+        some = some.unionByName(rows.mapInArrow(tidied(_listed(rarity, marks_of(alone, "word"))), POSTINGS))
     some = work.put(some.join(left.select("word").distinct(), "word", "left_semi").distinct(), "lists")
     left = left.drop("alone")
     work.drop("candidates")
@@ -507,7 +512,7 @@ def dedup_lines(docs: DataFrame, held: int = HELD, pairs: int = PAIRS) -> DataFr
     the three new ones are replaced.
     """
     text = F.col("text").cast("string")
-    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    n_lines = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     out = _judged(docs.drop("n_lines", "removed", "kept_text"), held, pairs).withColumn("n_lines", n_lines).withColumn("kept_text", F.col("__kept"))
     return out.withColumn("removed", F.coalesce("__removed", F.array().cast("array<int>"))).drop("__removed", "__kept")
 
@@ -522,8 +527,8 @@ def _judged(docs: DataFrame, held: int, pairs: int) -> DataFrame:
     work = Work(docs.sparkSession, "lines")
     repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()  # else there's nothing to break ties of
     tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") if repeated else F.lit(0)
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tie.alias("tie"), utf8(F.col("text").cast("string")).alias("data"), F.xxhash64(F.col("doc_id").cast("long")).alias("mark"))
-    both = work.put(rows.mapInArrow(_keys, LINES), "lines")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tie.alias("tie"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"), F.xxhash64(F.col("doc_id").cast("long")).alias("mark"))
+    both = work.put(rows.mapInArrow(tidied(_keys), LINES), "lines")
     lines = both.where("line is not null").select("doc_id", "tie", "line", "key", "key2", "text")
     where = F.struct("doc_id", "tie", "line")
     first = work.put(lines.groupBy("key", "key2").agg(F.min(F.struct("doc_id", "tie", "line", "text")).alias("first"), F.count("*").alias("n")), "first")

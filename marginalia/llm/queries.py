@@ -23,7 +23,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, removed lines (numbers from 0), and a digest of the text that stays."""
     found = lines.dedup_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,45 @@ def test_lines_edges(spark, documents, texts, nothing):
     assert [list(r.removed) for r in got if r.doc_id is None] == [[]]
 
 
+@pytest.mark.parametrize("few", [0, 1 << 15])
+def test_lines_read_only_the_texts_of_candidates_again(spark, monkeypatch, few):
+    """Few documents that hold candidates are picked before their texts leave the JVM; of many, a bitmap tells them."""
+    texts = made_lines(6) | {1000 + i: f"alone{i} as{i} can{i} be{i} here{i} now{i}" for i in range(50)}
+    made = lines._marked
+
+    def watched(docs, marks):
+        inner, most = made(docs, marks), few
+
+        def run(batches):
+            def seen():
+                for b in batches:
+                    if most and not lines.marked(docs, b.column("mark").to_numpy().view("u8")).all():
+                        raise AssertionError("texts without candidates were sent")
+                    yield b
+
+            return inner(seen())
+
+        return run
+
+    monkeypatch.setattr(lines, "_marked", watched)
+    monkeypatch.setattr(lines, "FEW_DOCS", few, raising=False)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: list(r.removed) for r in lines.dedup_lines(df).collect()} == brute_lines(texts)
+
+
+def test_lines_counted_and_hashed_in_bytes(spark, sf_dir, tmp_path):
+    from hashlib import sha256
+
+    from marginalia.llm import queries
+
+    texts = {1: "é ü\nß\né ü\n", 2: None, 3: "", 4: "\n\n", 5: "日本 語\nß\n\U0001f600"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.removed, r.kept_sha256) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    kept = {1: "é ü\nß\n", 3: "", 4: "\n\n", 5: "日本 語\n\U0001f600"}
+    want = {i: sha256(x.encode()).hexdigest() for i, x in kept.items()}
+    assert got == {1: (4, "2", want[1]), 2: (0, "", None), 3: (1, "", want[3]), 4: (3, "", want[4]), 5: (3, "1", want[5])}
+
+
 ITEM = "If Alice has 3 apples and buys 12 more apples at 5 km from home, how many apples does Alice carry back to Bob after 3 days?"
 
 
