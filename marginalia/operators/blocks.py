@@ -30,34 +30,31 @@ def is_machine_directive(body: Column, lang: Column) -> Column:
     """Whether the body opens with a directive that some tool of its language reads."""
     opens = F.lit(False)
     for name, facts in LANGUAGES.items():
-        mine = F.lit(False)
-        for p in facts["directives"]:
-            mine = mine | T.strip(body).startswith(p)
-        opens = opens | ((lang == name) & mine)
+        if facts["directives"]:
+            opens = opens | ((lang == name) & T.opens_with(body, facts["directives"]))
     return opens
 
 
 def marked(runs: DataFrame, marker: str = IGNORE_MARKER) -> DataFrame:
-    """Adds is_directive, rule and reason, and what holds for the whole run: run_end, run_end_row, run_doc."""
-    whole = W.partitionBy("path", "run")
-    return (
-        runs.withColumn("is_directive", is_machine_directive(F.col("body"), F.col("lang")) | F.col("is_shebang"))
-        .withColumn("rule", T.ignore_rule(F.col("body"), marker)).withColumn("reason", T.ignore_reason(F.col("body"), marker))
-        .withColumn("run_doc", F.bool_or("is_doc").over(whole)).withColumn("run_subject", F.max("doc_subject").over(whole))
-        .withColumn("run_end", F.max("end").over(whole)).withColumn("run_end_row", F.max("end_row").over(whole))
-    )
+    """Adds is_directive, rule and reason."""
+    marks = runs.withColumn("is_directive", is_machine_directive(F.col("body"), F.col("lang")) | F.col("is_shebang"))
+    return marks.withColumn("rule", T.ignore_rule(F.col("body"), marker)).withColumn("reason", T.ignore_reason(F.col("body"), marker))
 
 
 def blocks_of(comments: DataFrame) -> DataFrame:
-    """One row per run that still has prose; a run of directives makes none."""
-    prose = comments.where(~F.col("is_directive") & F.col("rule").isNull())
-    first = lambda c: F.min_by(c, "start").alias(c)
-    lines = F.array_sort(F.collect_list(F.struct("start", "body")))
-    out = prose.groupBy("path", "run").agg(
-        first("lang"), first("kind"), first("run_doc"), first("run_subject"), first("run_end"), first("run_end_row"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.min("start_row").alias("start_row"), F.max("end_row").alias("end_row"), F.bool_or("is_trailing").alias("is_trailing"),
-        F.sum(F.col("end_row") - F.col("start_row") + 1).cast("long").alias("line_count"), F.array_join(F.transform(lines, lambda x: x["body"]), "\n").alias("body"),
-    )
+    """One row per run that still has prose; a run of directives makes none.
+
+    Directives count only for what holds for the whole run: run_end, run_end_row, run_doc, run_subject.
+    """
+    prose = ~F.col("is_directive") & F.col("rule").isNull()
+    of = lambda c: F.when(prose, F.col(c))
+    lines = F.array_sort(F.collect_list(F.when(prose, F.struct("start", "body"))))
+    out = comments.groupBy("path", "run").agg(
+        F.min_by("lang", of("start")).alias("lang"), F.min_by("kind", of("start")).alias("kind"), F.bool_or("is_doc").alias("run_doc"), F.max("doc_subject").alias("run_subject"),
+        F.max("end").alias("run_end"), F.max("end_row").alias("run_end_row"), F.min(of("start")).alias("start"), F.max(of("end")).alias("end"),
+        F.min(of("start_row")).alias("start_row"), F.max(of("end_row")).alias("end_row"), F.bool_or(of("is_trailing")).alias("is_trailing"),
+        F.sum(of("end_row") - F.col("start_row") + 1).cast("long").alias("line_count"), F.array_join(F.transform(lines, lambda x: x["body"]), "\n").alias("body"),
+    ).where("start is not null")
     return out.withColumn("kind", F.when(F.col("run_doc"), "doc").otherwise(F.col("kind"))).withColumn("block", F.row_number().over(by_path().orderBy("start")))
 
 
@@ -96,15 +93,16 @@ def bind(blocks: DataFrame, directives: DataFrame) -> tuple[DataFrame, DataFrame
     """(path, block, rule, reason, directive) that hold, and the directives with no block.
 
     A directive (path, start, start_row, rule, reason) goes to the first block on its row or the next; of several
-    that go to one block the last one holds and the others are gone.
+    that go to one block the last one holds and the others are gone.  Blocks and directives are laid side by side
+    by row, so there is no join.
     """
-    first = blocks.select("path", "block", F.col("start_row").alias("at"))
-    reach = directives.select("*", F.explode(F.array(F.col("start_row"), F.col("start_row") + 1)).alias("at"))
-    met = reach.join(first, ["path", "at"]).groupBy("path", "start", "start_row", "end", "rule", "reason").agg(F.min("block").alias("block"))
-    last = F.struct("start", "start_row", "end", "rule", "reason")
-    held = met.groupBy("path", "block").agg(F.max_by(last, "start").alias("d")).select("path", "block", "d.rule", "d.reason", F.col("d.start").alias("directive_start"), F.col("d.end").alias("directive_end"), F.col("d.start_row").alias("directive_row"))
-    loose = directives.join(met.select("path", "start").distinct(), ["path", "start"], "left_anti")
-    return held, loose
+    near = by_path().orderBy("start_row").rangeBetween(0, 1)
+    both = blocks.select("path", "start_row", "block").unionByName(directives.withColumn("is_mark", F.lit(True)), allowMissingColumns=True)
+    met = both.withColumn("block", F.min("block").over(near)).where("is_mark").drop("is_mark")
+    last = F.row_number().over(W.partitionBy("path", "block").orderBy(F.desc("start")))
+    held = met.where("block is not null").withColumn("__last", last).where("__last = 1")
+    held = held.select("path", "block", "rule", "reason", F.col("start").alias("directive_start"), F.col("end").alias("directive_end"), F.col("start_row").alias("directive_row"))
+    return held, met.where("block is null").select(*directives.columns)
 
 
 def without_licence(blocks: DataFrame) -> DataFrame:

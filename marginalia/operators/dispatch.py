@@ -39,7 +39,7 @@ def density(blocks: DataFrame, subjects: DataFrame, limits: DataFrame) -> DataFr
     subject count; a subject with a block in broken code is withheld.
     """
     spans = subjects.where("not file_scope and code_lines > 0").select("path", F.col("subject").alias("subj"), F.col("start").alias("s"), F.col("end").alias("e"), "code_lines")
-    inside = blocks.join(spans, (blocks["path"] == spans["path"]) & (F.col("start") >= F.col("s")) & (F.col("end") <= F.col("e"))).drop(spans["path"])
+    inside = blocks.join(spans.hint("merge"), (blocks["path"] == spans["path"]) & (F.col("start") >= F.col("s")) & (F.col("end") <= F.col("e"))).drop(spans["path"])
     lines = inside.groupBy("path", "subj", "s", "e", "code_lines").agg(
         F.sum(F.when(F.col("subject").isNull(), F.col("line_count")).otherwise(0)).cast("long").alias("comment_lines"), F.bool_or("in_error").alias("withheld"), F.min_by("lang", "block").alias("lang"),
         F.min_by("kind", F.when(F.col("kind") != "doc", F.col("block"))).alias("kind"), F.min("block").alias("block"),
@@ -52,14 +52,20 @@ def density(blocks: DataFrame, subjects: DataFrame, limits: DataFrame) -> DataFr
 
 def suppressed(findings: DataFrame, held: DataFrame) -> DataFrame:
     """Adds suppressed: the block's directive names the rule.  Findings are marked, not dropped."""
-    named = held.select("path", "block", "rule", F.lit(True).alias("__named"))
-    return findings.join(named, ["path", "block", "rule"], "left").withColumn("suppressed", F.coalesce("__named", F.lit(False))).drop("__named")
+    both = findings.unionByName(held.select("path", "block", "rule", F.lit(True).alias("__named")), allowMissingColumns=True)
+    named = F.max("__named").over(W.partitionBy("path", "block", "rule"))
+    return both.withColumn("suppressed", F.coalesce(named, F.lit(False))).where("__named is null").drop("__named")
 
 
-def dead_ignores(held: DataFrame, ran: DataFrame, fired: DataFrame) -> DataFrame:
-    """Directives whose rule ran on the block and didn't fire."""
+def dead_ignores(held: DataFrame, tried: DataFrame) -> DataFrame:
+    """Directives whose rule ran on the block and didn't fire.
+
+    tried: path, block, rule, fired; a rule ran where it has a row, and fired where one of its rows says so.
+    """
     key = ["path", "block", "rule"]
-    return held.join(ran.select(*key), key, "left_semi").join(fired.select(*key), key, "left_anti")
+    both = held.withColumn("__held", F.lit(True)).unionByName(tried.select(*key, "fired"), allowMissingColumns=True)
+    both = both.withColumn("__fired", F.max("fired").over(W.partitionBy(*key)))  # null where it didn't run
+    return both.where("__held and not __fired").select(*held.columns)
 
 
 def missing_reasons(held: DataFrame, loose: DataFrame, marker: str = IGNORE_MARKER) -> DataFrame:

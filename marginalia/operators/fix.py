@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .report import merged
+from .spread import matched
 
 #: Languages in which blank lines around a removed comment stay.
 LEAVES_BLANKS = ("python",)
@@ -70,6 +71,6 @@ def fixed(files: DataFrame, deletions: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"path": b["path"], "content": [spliced(c.encode(), [(x["start"], x["end"]) for x in r]).decode() for c, r in zip(b["content"], b["ranges"], strict=True)]})
 
-    cut = files.join(per, "path").select("path", "lang", "content", "cuts").mapInPandas(ranges, "path string, start long, end long")
+    cut = matched(files, per, "path").select("path", "lang", "content", "cuts").mapInPandas(ranges, "path string, start long, end long")
     united = merged(cut).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
-    return files.join(united, "path").select("path", "content", "ranges").mapInPandas(splice, "path string, content string")
+    return matched(files, united, "path").select("path", "content", "ranges").mapInPandas(splice, "path string, content string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.vocabulary import ATTRIBUTION, HEDGING, IGNORE_MARKER, LANGUAGES, MIN_SYMBOL_LEN, NARRATION, NOTE, SAY, VAGUE
+from .spread import matched
 
 
 def say(key: str, *found: Column) -> Column:
@@ -48,8 +49,9 @@ def text_rules(body: Column, trailing: Column, lang: Column, marker: str = IGNOR
 
 
 def restates(body: Column, attached: Column) -> Column:
-    tokens = T.content_tokens(body)
-    return (F.size(attached) > 0) & (F.size(tokens) > 0) & (F.size(F.array_except(tokens, attached)) == 0)
+    within = lambda tokens: (F.size(tokens) > 0) & (F.size(F.array_except(tokens, attached)) == 0)
+    # As the one item of an array the tokens are made once, however often they are named.
+    return (F.size(attached) > 0) & F.exists(F.array(T.content_tokens(body)), within)
 
 
 def block_hits(blocks: DataFrame, marker: str = IGNORE_MARKER, more: dict[str, Column] | None = None) -> DataFrame:
@@ -83,6 +85,6 @@ def leaked_names(blocks: DataFrame, symbols: DataFrame, common: tuple[str, ...])
     known = F.lit(sorted({w.lower() for w in common})) if common else F.array().cast("array<string>")
     low = F.lower("name")
     is_common = F.array_contains(known, low) | F.array_contains(known, F.regexp_replace(low, "s$", "")) | F.array_contains(known, F.regexp_replace(low, "es$", ""))
-    met = blocks.select("path", "block", "body").join(names, "path")
+    met = matched(blocks.select("path", "block", "body"), names, "path")
     uses = T.referenced_as_code(F.col("body"), F.col("name")) | (T.bounded_by(F.col("body"), F.col("name")) & ~is_common)
     return met.where(F.col("body").contains(F.col("name"))).where(uses).groupBy("path", "block").agg(F.min_by("name", "ord").alias("leaked"))
