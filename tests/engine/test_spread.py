@@ -4,6 +4,7 @@ import importlib
 
 import pytest
 from marginalia import queries
+from marginalia.operators import spread
 
 C = importlib.import_module("marginalia.check")
 
@@ -37,3 +38,24 @@ def test_no_table_of_files_is_broadcast(plain, sf_dir, monkeypatch, name):
     monkeypatch.setattr(C, "keep", kept)
     plans.append(sent_whole(queries.QUERIES[name](plain, sf_dir)))
     assert len(plans) > 5 and not any(plans)
+
+
+SHARED = "dead_ignore suppression precedence ignore_reason narration_blocks comment_runs hedging_blocks loose_directives ignore_binding restate_subset vague_blocks attachment attribution_blocks block_text directive_drop".split()
+
+
+@pytest.mark.parametrize("name", SHARED)
+def test_rows_are_dealt_out_once(plain, sf_dir, name):
+    """One exchange, by path, into as many parts as the table's size asks for; no join."""
+    exchanges, joins, todo = [], [], [queries.QUERIES[name](plain, sf_dir)._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        exchanges += [p.outputPartitioning().toString()] if p.nodeName() == "Exchange" else []
+        joins += [p.nodeName()] if "Join" in p.nodeName() else []
+        todo += [p.children().apply(k) for k in range(p.children().size())]
+    assert len(exchanges) >= 1 and len(set(exchanges)) == 1 and "hashpartitioning(path" in exchanges[0] and not joins
+
+
+def test_parts_follow_the_size(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert spread.parts(table, size // 50) >= 50 and spread.parts(table, 10 * size) == spark.sparkContext.defaultParallelism
