@@ -48,13 +48,18 @@ def blocks_of(comments: DataFrame) -> DataFrame:
     """
     prose = ~F.col("is_directive") & F.col("rule").isNull()
     of = lambda c: F.when(prose, F.col(c))
-    lines = F.array_sort(F.collect_list(F.when(prose, F.struct("start", "body"))))
-    out = comments.groupBy("path", "run").agg(
-        F.min_by("lang", of("start")).alias("lang"), F.min_by("kind", of("start")).alias("kind"), F.bool_or("is_doc").alias("run_doc"), F.max("doc_subject").alias("run_subject"),
-        F.max("end").alias("run_end"), F.max("end_row").alias("run_end_row"), F.min(of("start")).alias("start"), F.max(of("end")).alias("end"),
-        F.min(of("start_row")).alias("start_row"), F.max(of("end_row")).alias("end_row"), F.bool_or(of("is_trailing")).alias("is_trailing"),
-        F.sum(of("end_row") - F.col("start_row") + 1).cast("long").alias("line_count"), F.array_join(F.transform(lines, lambda x: x["body"]), "\n").alias("body"),
-    ).where("start is not null")
+    # Runs are short and come in order, so windows over them cost less than an aggregate with lists, which sorts whole rows twice.
+    run = W.partitionBy("path", "run").orderBy("start").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    whole = {
+        "run_doc": F.bool_or("is_doc"), "run_subject": F.max("doc_subject"), "run_end": F.max("end"), "run_end_row": F.max("end_row"), "__end": F.max(of("end")),
+        "__start_row": F.min(of("start_row")), "__end_row": F.max(of("end_row")), "__trailing": F.bool_or(of("is_trailing")),
+        "__count": F.sum(of("end_row") - F.col("start_row") + 1), "__lines": F.collect_list(of("body")),
+    }
+    told = comments.withColumns({k: v.over(run) for k, v in whole.items()} | {"__nth": F.sum(prose.cast("int")).over(run.rowsBetween(W.unboundedPreceding, 0))}).where(prose & (F.col("__nth") == 1))
+    out = told.select(
+        "path", "run", "lang", "kind", "run_doc", "run_subject", "run_end", "run_end_row", "start", F.col("__end").alias("end"), F.col("__start_row").alias("start_row"), F.col("__end_row").alias("end_row"),
+        F.col("__trailing").alias("is_trailing"), F.col("__count").cast("long").alias("line_count"), F.array_join("__lines", "\n").alias("body"),
+    )
     return out.withColumn("kind", F.when(F.col("run_doc"), "doc").otherwise(F.col("kind"))).withColumn("block", F.row_number().over(by_path().orderBy("start")))
 
 
